@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality
+from . import exact_dedup, mixing, packing, quality
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +40,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_mixing": op8_mixing,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
