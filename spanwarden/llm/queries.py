@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, near_dedup, packing, quality
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +35,10 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(spark, docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_mixing": op8_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
