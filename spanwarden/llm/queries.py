@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
+from . import chat, exact_dedup, mixing, near_dedup, packing, quality
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -21,6 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.windows(spark, turns))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_decisions(spark, _table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -54,6 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op7_quality_classifier": op7_quality_classifier,
