@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, packing, quality
+from . import chat, exact_dedup, mixing, near_dedup, packing, quality, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -46,6 +46,24 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM t
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id != top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id != top THEN top END AS refers_to
+FROM g
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(spark, docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels")))
@@ -64,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
+        "op5_warc": op5_warc,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_mixing": op8_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -73,4 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
+        "op5_warc": OP5_SQL,
     }
