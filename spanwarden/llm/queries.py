@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, packing, quality, warc
+from . import chat, exact_dedup, iblt, mixing, near_dedup, packing, quality, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +64,10 @@ FROM g
 """
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.edited_pairs(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(spark, docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels")))
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op5_warc": op5_warc,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_mixing": op8_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
