@@ -33,7 +33,6 @@ SHARE = 1.5
 MOST = 2
 BLOCK = 256
 SLOTS_PER_SHARD = 4096
-ROWS_PER_CHUNK = 20_000
 SLOTS_PER_TASK = 16_384
 
 #: The largest primes below 2 ** 31; a prime above n has no factor in common with n.
@@ -84,7 +83,7 @@ class Mix:
 def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
     """sizes: a stored table of row (unique), doc_id, source, size."""
     sources = ws.save(targets(sizes), "targets")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_CHUNK))
+    chunks = F.ceil(F.sqrt("n_docs"))  # as many chunks as documents in one
     h = F.xxhash64("doc_id")
     docs = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     docs = docs.withColumn("chunk", F.pmod(h, chunks)).withColumn("h", h)
