@@ -16,7 +16,7 @@ whatever the number of documents, which is the only data that reaches the driver
 distributed; a length that a third of all pieces share is split by id in the range sort.
 
 Tokens come from a public tokenizer file whose path is a parameter. It drops white space and never
-joins across it, so texts are tokenised word by word through a bounded cache.
+joins across it, so texts are tokenised word by word through a bounded table.
 
 Defined cases: a null or empty text is the separator alone; repeated rows and ids are packed once for
 each row; null ids are kept; an empty table gives an empty result.
@@ -33,25 +33,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytebatch import LOWER, pieces, word_hashes, words
 from .workspace import Workspace
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_WORDS = 300_000
-CACHED_BYTES = 48
+TABLE_WORDS = 1_500_000
+
+ASCII_ALNUM = np.zeros(256, bool)
+ASCII_ALNUM[[*range(48, 58), *range(97, 123)]] = True
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts as packed little-endian unsigned 32-bit integers."""
+    """Ids of whole texts.
+
+    Words are looked up by their hash in a table of known words, all words of a piece of text at once.
+    ASCII letters are lower-cased first, as the tokenizer does, and a full stop or comma behind an ASCII
+    letter or digit is a word of its own, as in the tokenizer. New words of letters only are encoded in
+    one call: each of them gives one run of tokens that ends with a word end. A full table starts anew.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._reset()
 
     @staticmethod
     def at(path: str) -> WordTokenizer:
@@ -59,19 +71,70 @@ class WordTokenizer:
             _tokenizers[path] = WordTokenizer(path)
         return _tokenizers[path]
 
-    def ids(self, text: bytes) -> bytes:
-        cache, words = self.cache, text.split()
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)), strict=True))
-            cache.update((w, v) for w, v in found.items() if len(w) <= CACHED_BYTES)
-            if len(cache) > CACHE_WORDS or any(len(w) > CACHED_BYTES for w in new):
-                get = lambda w: found.get(w) or cache.get(w, b"")
-                return b"".join(map(get, words))
-        return b"".join(map(cache.__getitem__, words))
+    def _reset(self) -> None:
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the new words one after the other, and their number for each word."""
+        texts = [w.decode("utf-8", "replace") for w in new]
+        plain = np.array([t.isalpha() for t in texts], bool)
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
+        joined = [t for t, p in zip(texts, plain.tolist(), strict=True) if p]
+        if joined:
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[got]) + 1
+            if len(ends) == len(joined) and ends[-1] == len(got):
+                if len(joined) == len(new):
+                    return got, np.diff(ends, prepend=0)
+                for i, part in zip(np.flatnonzero(plain).tolist(), np.split(got, ends[:-1]), strict=True):
+                    ids[i] = part
+            else:
+                plain[:] = False
+        for i in np.flatnonzero(~plain).tolist():
+            ids[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        got, count = self._encode(new)
+        if self.used + len(got) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(got)), np.uint32)])
+        self.flat[self.used : self.used + len(got)] = got
+        first = self.used + np.cumsum(count) - count
+        self.used += len(got)
+        place = np.searchsorted(self.keys, hashes)
+        self.keys, self.first, self.count = (np.insert(x, place, y) for x, y in ((self.keys, hashes), (self.first, first), (self.count, count)))
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column, as unsigned 32-bit integers."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
+        for buffer, starts, owner in pieces(column):
+            buffer = LOWER[buffer]
+            lo, hi = words(buffer)
+            last, before = buffer[hi - 1], buffer[hi - 2]
+            stop = np.flatnonzero((hi - lo > 1) & ((last == 44) | (last == 46)) & ASCII_ALNUM[before])
+            hi[stop] -= 1
+            lo, hi = np.insert(lo, stop + 1, hi[stop]), np.insert(hi, stop + 1, hi[stop] + 1)
+            known, place, which = np.unique(word_hashes(buffer, lo, hi), return_index=True, return_inverse=True)
+            if len(self.keys) + len(known) > TABLE_WORDS or self.used > 8 * TABLE_WORDS:
+                self._reset()
+            row = np.searchsorted(self.keys, known)
+            missing = np.ones(len(known), bool)
+            missing[row < len(self.keys)] = self.keys[row[row < len(self.keys)]] != known[row < len(self.keys)]
+            if missing.any():
+                raw, at = buffer.tobytes(), place[missing]
+                self._learn(known[missing], [raw[x:y] for x, y in zip(lo[at].tolist(), hi[at].tolist(), strict=True)])
+                row = np.searchsorted(self.keys, known)
+            count = self.count[row][which]
+            end = np.cumsum(count)
+            source = np.repeat(self.first[row][which] - (end - count), count)
+            source += np.arange(len(source))
+            got = self.flat[source]
+            cut = np.concatenate([[0], end])[np.searchsorted(lo, starts)].tolist()
+            for k, doc in enumerate(owner.tolist()):
+                part = got[cut[k] : cut[k + 1]]
+                out[doc] = part if not len(out[doc]) else np.concatenate([out[doc], part])
+        return out
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -81,8 +144,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         tok, end = WordTokenizer.at(tokenizer_path), np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                data = tok.ids(text.as_py() or b"") + end
+            for i, ids in enumerate(tok.ids(batch.column("text"))):
+                data = ids.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

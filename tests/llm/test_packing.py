@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from spanwarden.llm import packing
+from spanwarden.llm import bytebatch, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -65,13 +66,16 @@ def test_pack_against_the_tokenizer(spark):
     assert gapless(rows) <= math.ceil(sum(r.length for r in rows) / packing.CAPACITY) + 1
 
 
-def test_small_cache_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
-    tok = packing.WordTokenizer(PATH)
-    text = "one two three four five one two " + "y" * 60 + " one"
-    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
-    for _ in range(3):
-        assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == want
+@pytest.mark.parametrize("words", [3, 100_000])
+def test_word_table_gives_the_same_ids(monkeypatch, words):
+    monkeypatch.setattr(bytebatch, "PIECE_BYTES", 150 if words == 3 else 1 << 21)
+    monkeypatch.setattr(packing, "TABLE_WORDS", words)
+    tok, rng = packing.WordTokenizer(PATH), random.Random(words)
+    bits = ["one", "Two", "ÉTÉ", "e\u0301", "İx", "ΣΑΣ", "Straße", "don't", "a.b", ".", ",", "..", "x.,", "1,", "½.", "²", "ﬁ", "한국", "y" * 60, "<|endoftext|>", "'s", "\u00a0", "\u2028", "\x1c", "Ⅷ", "ǅ", "'S.", "\U0001d518"]
+    for _ in range(60):
+        texts = ["".join(rng.choice([*bits, " ", "\n"]) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 40))) for _ in range(9)]
+        want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in tok.ids(pa.array(texts))] == want
 
 
 def test_empty(spark):
