@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, iblt, mixing, near_dedup, packing, quality, warc
+from . import chat, exact_dedup, iblt, line_dedup, mixing, near_dedup, packing, quality, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -46,6 +46,36 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("runs")
+
+
+OP4_SQL = r"""
+WITH said AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS said, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents
+), counted AS (
+  SELECT *, len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')) AS words FROM said
+), placed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS hi, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS lo FROM counted WHERE words > 0
+), spans AS (
+  SELECT doc_id, line AS first, max(line) OVER f AS last, sum(words) OVER f AS n, list(said) OVER f AS content FROM placed
+  WINDOW f AS (PARTITION BY doc_id ORDER BY lo RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION
+  SELECT doc_id, min(line) OVER b AS first, line AS last, sum(words) OVER b AS n, list(said) OVER b AS content FROM placed
+  WINDOW b AS (PARTITION BY doc_id ORDER BY hi RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), origins AS (
+  SELECT content, min((doc_id, first, last)) AS origin FROM spans WHERE n >= 50 GROUP BY content HAVING count(*) > 1
+), later AS (
+  SELECT DISTINCT s.doc_id, s.first, s.last FROM spans s JOIN origins o USING (content)
+  WHERE s.n >= 50 AND (s.doc_id != o.origin[1] OR s.first > o.origin[3])
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM later
+)
+SELECT s.doc_id, count(*) AS n_lines, count(g.line) AS removed_lines, coalesce(string_agg(CASE WHEN g.line IS NULL THEN s.said END, chr(10) ORDER BY s.line), '') AS text
+FROM said s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.line = g.line GROUP BY s.doc_id
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -86,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
+        "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_quality_classifier": op7_quality_classifier,
@@ -97,5 +128,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
+        "op4_line_dedup": OP4_SQL,
         "op5_warc": OP5_SQL,
     }
