@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, iblt, line_dedup, mixing, near_dedup, packing, quality, warc
+from . import chat, exact_dedup, iblt, line_dedup, lm_score, mixing, near_dedup, packing, quality, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -107,6 +107,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -121,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_mixing": op8_mixing,
+        "op9_lm_score": op9_lm_score,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
