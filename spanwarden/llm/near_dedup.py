@@ -13,13 +13,13 @@ Links are confirmed on full shingle sets, in rounds:
 
 1. every text meets the first text with which it shares most regions; confirmed links give
    components, which take in nearly all of a group of copies whatever its size;
-2. in every region that still holds several components, texts of different components are compared by
-   signature in blocks of matrices, and each text meets the most alike; after new components, the same
-   with all pairs that may reach the threshold (estimate at least ``ESTIMATE``, sizes that allow it).
+2. every region that still holds several components is resolved exactly: the common shingles of all
+   its texts are counted by products of incidence matrices, and each text is linked to the first text
+   that it reaches within the region. A region emits a row for each text at most, never its pairs.
 
 A pair at the threshold of 0.75 shares no prefix of 4 in any of 32 trees with a chance of 5 in
-1,000,000, and its estimate falls below ``ESTIMATE`` with a chance of about 1 in 10,000,000; both fall
-fast with likeness. Components are distributed large-star/small-star rounds.
+1,000,000, which falls fast with likeness; in regions of more than ``REGION`` different texts the
+longer prefixes raise it. Components are distributed large-star/small-star rounds.
 
 Defined cases: words are what lies between white space after lower-casing A-Z; fewer than five words
 are one shingle; null or empty texts have no shingle and are linked with nothing. Repeated ids count
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebatch import LOWER, mix64, pieces, word_hashes, words
@@ -47,7 +47,7 @@ TREES = 32
 DEPTH = 4
 DEEPEST = 3
 REGION = 1024
-ESTIMATE = 0.55
+COLUMNS = 4096
 NUM, DEN = 75, 100
 
 _rng = np.random.default_rng(20240601)
@@ -166,33 +166,39 @@ def regions(ws: Workspace, reps: DataFrame) -> DataFrame:
     return out.unionByName(rest)
 
 
-def _likely_pairs(best: bool):
-    """Pairs of one region, from different components, whose signatures and sizes allow a link: all of
-    them, or for each text the one whose signature is most alike."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-        sig = _signatures(table.column("sig").combine_chunks())
-        a_out, b_out, like = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)], [np.zeros(0, np.int32)]
-        for at in range(0, len(ids), 64):
-            left = slice(at, at + 64)
-            alike = np.zeros((len(ids[left]), len(ids)), np.int32)
-            for k in range(SIGNATURE):
-                alike += sig[left, k, None] == sig[None, :, k]
-            fits = (alike >= ESTIMATE * SIGNATURE) & (label[left, None] != label[None, :])
-            fits &= DEN * np.minimum(n[left, None], n[None, :]) >= NUM * np.maximum(n[left, None], n[None, :])
-            alike *= fits
-            if best:
-                i, j = np.arange(len(alike)), alike.argmax(axis=1)
-                i, j = i[alike[i, j] > 0], j[alike[i, j] > 0]
-            else:
-                i, j = np.nonzero(alike * (ids[left, None] < ids[None, :]))
-            a_out.append(ids[left][i])
-            b_out.append(ids[j])
-            like.append(alike[i, j])
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out), "alike": np.concatenate(like).astype(np.int32)})
-
-    return run
+def _linked(table: pa.Table) -> pa.Table:
+    """The classes within one region: each text with the first text that it reaches over links of at
+    least the threshold, found on full shingle sets."""
+    ids = table.column("id").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+    size, n = np.array([len(x) for x in sets]), len(ids)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    held = np.diff(np.append(new, len(values)))
+    shared = np.repeat(held > 1, held)
+    owner, column = owner[shared], np.repeat(np.arange((held > 1).sum()), held[held > 1])
+    common = np.zeros((n, n), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[owner[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+        common += block @ block.T
+    both = common.astype(np.int64)
+    alike = DEN * both >= NUM * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(alike, True)  # shingles of one text alone are not among the columns
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    least = rank
+    while True:
+        nearest = np.where(alike, least[None, :], n).min(axis=1)
+        if (nearest == least).all():
+            break
+        least = nearest
+    first = np.sort(ids)[least]
+    keep = first != ids
+    return pa.table({"a": first[keep], "b": ids[keep]})
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,15 +245,13 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("first")).alias("minus"))).alias("v"))
     links = confirmed(ws, sets, best.select(F.col("id").alias("a"), (-F.col("v.minus")).alias("b")), "votes")
     found = ws.save(components(ws, links, "star-votes"), "components-votes")
-    for mode in ("best", "all"):
-        labelled = near.filter("compare").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("region")
-        rows = labelled.join(several, "region", "left_semi").select("region", "id", "label").join(reps.select("id", "n", "sig"), "id")
-        pairs = rows.groupBy("region").applyInArrow(_likely_pairs(mode == "best"), f"a {kind}, b {kind}, alike int")
-        if mode == "best":
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        links = links.unionByName(confirmed(ws, sets, pairs, mode))
-        found = ws.save(components(ws, links, f"star-{mode}"), f"components-{mode}")
+    labelled = near.filter("compare").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # regions of several components; of regions with the same texts, as different trees give, one
+    several = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    several = several.filter("lo != hi").groupBy("size", "x", "y").agg(F.min("region").alias("region"))
+    rows = labelled.join(several.select("region"), "region", "left_semi").select("region", "id").join(sets, "id")
+    rest = ws.save(rows.groupBy("region").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-regions")
+    found = ws.save(components(ws, links.unionByName(rest), "star-regions"), "components-regions")
     ws.drop("sets", "regions", "regions-1")
 
     of_class = classes.join(found, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
