@@ -90,6 +90,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORD
     runs = ws.save(runs, "runs")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    out = rows.join(runs, DOC, "left").withColumn("text_lines", F.size(lines))
+    # the same plan at every size: a few runs would be broadcast, many not
+    out = rows.join(runs.hint("merge"), DOC, "left").withColumn("text_lines", F.size(lines))
     removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0))
     return out.select("doc_id", F.col("text_lines").cast("long").alias("n_lines"), removed.cast("long").alias("removed_lines"), "runs", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
