@@ -28,6 +28,40 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(spark, turns))
 
 
+OP1_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 4 AS cost,
+    row_number() OVER o - 1 AS at_, (sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 4) OVER o)::BIGINT AS stop
+  FROM given WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '') ROWS UNBOUNDED PRECEDING)
+), sized AS (
+  SELECT *, stop - cost AS start, length(role) + length(text) + 20 + len(regexp_extract_all(role, rx)) + len(regexp_extract_all(text, rx)) AS shown,
+    coalesce(max(CASE WHEN at_ = 0 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id), 0) AS sys
+  FROM t, (SELECT '[<\[]\\*(?:/?s>|<SYS>>|</SYS>>|/?INST\])' AS rx)
+), wide AS (
+  SELECT *, greatest(256, (2048 - 256 - sys) // 2) AS width FROM sized
+), cells AS (
+  SELECT *, start // width AS cell, cost > width AS large FROM wide
+), runs AS (
+  SELECT *, 2 * sum(large::INT) OVER (PARTITION BY conv_id, cell ORDER BY at_) - large::INT AS run FROM cells
+), placed AS (
+  SELECT *, min(at_) OVER w AS win, min(start) OVER w AS w_start FROM runs WINDOW w AS (PARTITION BY conv_id, cell, run)
+), again AS (
+  SELECT h.conv_id, p.shown FROM placed h JOIN placed p ON h.conv_id = p.conv_id AND p.win < h.win AND p.start >= h.w_start - least(256, h.width) AND NOT (h.sys > 0 AND p.at_ = 0) WHERE h.at_ = h.win
+  UNION ALL SELECT h.conv_id, p.shown FROM placed h JOIN placed p ON h.conv_id = p.conv_id AND p.at_ = 0 AND h.sys > 0 WHERE h.at_ = h.win AND h.win > 0
+), more AS (
+  SELECT conv_id, sum(shown) AS chars FROM again GROUP BY conv_id
+)
+SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at_)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY at_), '')) AS loss_sha256,
+  (sum(shown) + coalesce(any_value(chars), 0))::BIGINT AS formatted_chars
+FROM placed p LEFT JOIN more m ON p.conv_id = m.conv_id GROUP BY p.conv_id
+"""
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_decisions(spark, _table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -132,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_formatting": OP1_SQL,
         "op2_exact_dedup": OP2_SQL,
         "op4_line_dedup": OP4_SQL,
         "op5_warc": OP5_SQL,
