@@ -114,7 +114,7 @@ def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
     lo = F.greatest(F.col("off"), F.col("block") * block)
     hi = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("row", "source_no", "block", (lo - F.col("off")).alias("start"), (lo - F.col("block") * block).alias("in_block"), (hi - lo).alias("n"))
-    spans = slots.join(pieces, ["source_no", "block"])
+    spans = slots.join(pieces.hint("merge"), ["source_no", "block"])  # slots grow with the input: Spark takes them for few, since they are made of few rows
     n = F.when(F.col("words").isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(F.lit(0).cast("long"), F.col("words") - F.col("in_block"))))
     spans = spans.withColumn("n", n).filter("n > 0").select("row", "pass", "shard", "place", "start", "n")
     return Mix(docs, slots, spans)
@@ -131,7 +131,7 @@ def shares(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ws, sizes = measured(spark, docs)
     m = mix(ws, sizes)
     taken = m.spans.groupBy("row").agg(F.sum("n").alias("taken"))
-    return m.documents.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return m.documents.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -143,8 +143,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = ws.save(stored.select(F.col("__row").alias("row"), "doc_id", "source", word_count(text_of("text")).alias("size")), "sizes")
     m = mix(ws, sizes)
     takes = m.spans.groupBy("row", "pass").agg(F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spans"))
-    takes = takes.join(m.documents.select("row", F.col("size").alias("__size")), "row").drop("pass")
-    rows = stored.join(takes, F.col("__row") == F.col("row")).drop("row")
+    takes = takes.join(m.documents.select("row", F.col("size").alias("__size")).hint("merge"), "row").drop("pass")
+    rows = stored.join(takes.hint("merge"), F.col("__row") == F.col("row")).drop("row")
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["n"].cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(part))
