@@ -64,19 +64,20 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(buffer, piece starts with the end as last, number of the text of each piece).
 
     Every piece of a text ends with one space that is not part of it, and one space stands before the
     first, so no word crosses two pieces.
     """
+    limit = limit or PIECE_BYTES
     data, at = utf8_parts(column)
     cuts, owner = [], []
     for i in range(len(at) - 1):
         lo, hi = int(at[i]), int(at[i + 1])
-        while hi - lo > PIECE_BYTES:
-            space = np.flatnonzero(IS_SPACE[data[lo : lo + PIECE_BYTES]])
-            end = lo + int(space[-1]) + 1 if len(space) else _word_end(data, lo + PIECE_BYTES, hi)
+        while hi - lo > limit:
+            space = np.flatnonzero(IS_SPACE[data[lo : lo + limit]])
+            end = lo + int(space[-1]) + 1 if len(space) else _word_end(data, lo + limit, hi)
             cuts.append((lo, end))
             owner.append(i)
             lo = end
@@ -85,7 +86,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     group: list[int] = []
     size = 0
     for k, (lo, hi) in enumerate(cuts):
-        if group and size + hi - lo > PIECE_BYTES:
+        if group and size + hi - lo > limit:
             yield _joined(data, [cuts[g] for g in group]) + (np.array([owner[g] for g in group]),)
             group, size = [], 0
         group.append(k)

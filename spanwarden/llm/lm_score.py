@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytebatch
 from .bytebatch import IS_SPACE, LOWER, pieces, word_hashes, words
 from .text import id_residue
 from .workspace import Workspace
@@ -41,6 +42,9 @@ END = 10
 MAX_NODES = 1 << 21
 MAX_COMMON = 1 << 20
 BITS = 8
+#: Of a piece, a dozen vectors of 8 bytes a symbol stand in memory at once.
+LM_PIECE_BYTES = 1 << 19
+TEXTS_PER_BATCH = 2000
 
 
 @dataclass
@@ -57,7 +61,7 @@ class Piece:
 
 def normalised(column: pa.Array) -> Iterator[Piece]:
     lead, last_owner = np.zeros(0, np.uint8), -1
-    stream = pieces(column)
+    stream = pieces(column, min(LM_PIECE_BYTES, bytebatch.PIECE_BYTES))
     current = next(stream, None)
     while current is not None:
         following = next(stream, None)
@@ -121,6 +125,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in normalised(batch.column("text")):
             found[0].append(np.unique(piece.word_hashes.view(np.int64), return_counts=True))
             found[1].append(np.unique(contexts(piece) << BITS | piece.symbols, return_counts=True))
+            found = [[_merged(parts)] if len(parts) == 4 else parts for parts in found]
         for kind, parts in enumerate(found):
             if parts:
                 keys, counts = _merged(parts)
@@ -320,6 +325,16 @@ def _scorer(shared):
 def scores(spark: SparkSession, docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     ws = Workspace(spark, "lm-score")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, TEXTS_PER_BATCH)
+    try:
+        return _scores(spark, ws, docs, bounds)
+    finally:
+        spark.conf.set(limit, usual)
+
+
+def _scores(spark: SparkSession, ws: Workspace, docs: DataFrame, bounds: dict[str, int]) -> DataFrame:
     model, counts = learn(spark, ws, docs, **bounds)
     shared = spark.sparkContext.broadcast(model)  # bounded by MAX_NODES an order and MAX_COMMON
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (id_residue("doc_id", 7) == 2).alias("held_out"), "text")
