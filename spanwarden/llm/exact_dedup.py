@@ -27,6 +27,8 @@ from .workspace import Workspace
 
 #: Rows of a group that one comparison task takes before the kept text is sent to a further one.
 ROWS_PER_SALT = 512
+#: Parts that the rows of one digest are dealt over when they meet their group.
+SALTS = 32
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -121,21 +123,21 @@ class StreamingDeduplicator:
         salts = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_SALT)).cast("int")
         kept = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "keep_id", "n").agg(F.min("body").alias("kept_body")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         members = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.length("body")), salts).cast("int"))
-        other = members.join(kept.select("digest", "salt", "kept_body"), ["digest", "salt"]).filter(F.col("body") != F.col("kept_body"))
+        other = members.join(kept.select("digest", "salt", "kept_body").hint("merge"), ["digest", "salt"]).filter(F.col("body") != F.col("kept_body"))
         return other.select("doc_id", "digest", "body").distinct()
 
     def decisions(self) -> DataFrame:
         """One row per arrival: doc_id, keep_id, group_size, kept, digest, ingest, row."""
-        groups = self.groups()
-        rows = self.arrivals().join(groups, "digest")
+        groups = self.groups().filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        arrivals = self.arrivals().withColumn("salt", F.pmod(F.xxhash64("ingest", "row"), F.lit(SALTS)).cast("int"))
+        rows = arrivals.join(groups.hint("merge"), ["digest", "salt"], "left").drop("salt")
         differing = self.ws.save(self._differing(rows.filter("n > 1")), "differing")
-        same = lambda a, b: F.struct(a["ingest"], a["row"]) == F.struct(b["ingest"], b["row"])
-        if differing.isEmpty():
-            kept = (F.col("first.ingest") == F.col("ingest")) & (F.col("first.row") == F.col("row"))
-            return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest", "ingest", "row")
-        return self._regrouped(rows, differing, same)
+        alone = F.col("n").isNull()
+        kept = alone | ((F.col("first.ingest") == F.col("ingest")) & (F.col("first.row") == F.col("row")))
+        columns = ["doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", "ingest", "row"]
+        return rows.select(*columns) if differing.isEmpty() else self._regrouped(rows, differing, columns)
 
-    def _regrouped(self, rows: DataFrame, differing: DataFrame, same) -> DataFrame:
+    def _regrouped(self, rows: DataFrame, differing: DataFrame, columns: list) -> DataFrame:
         """Some digests stand for several texts: those rows are grouped by digest and text.
 
         A row of such a digest is known by (doc_id, digest) only, so its text is read again.
@@ -149,7 +151,6 @@ class StreamingDeduplicator:
         texts = texts.withColumn("digest", self.digest(F.col("body"))).join(clashing, "digest", "left_semi")
         by_text = texts.groupBy("digest", "body").agg(F.min(_entry()).alias("first"), F.count(F.lit(1)).alias("n"))
         apart = texts.join(by_text, ["digest", "body"])
-        columns = ["doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("first.ingest") == F.col("ingest")) & (F.col("first.row") == F.col("row"))).alias("kept"), "digest", "ingest", "row"]
         return rows.join(clashing, "digest", "left_anti").select(*columns).unionByName(apart.select(*columns))
 
 
