@@ -31,6 +31,8 @@ from .text import word_count
 from .workspace import Workspace
 
 LEAST_WORDS = 50
+#: Parts that the places of one content are dealt over when they meet its first place.
+SALTS = 32
 
 DOC = ["g", "h"]
 
@@ -74,7 +76,9 @@ def repeated_runs(ws: Workspace, rows: DataFrame, least: int = LEAST_WORDS) -> D
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("g"), F.col("h"), F.col("first"), F.col("last"))
     origins = spans.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places")).filter("places > 1")
     same = (F.col("origin.g") == F.col("g")) & (F.col("origin.h") == F.col("h"))
-    later = spans.join(origins, ["k1", "k2"]).filter(~same | (F.col("first") > F.col("origin.last"))).select(*DOC, "first", "last").distinct()
+    origins = origins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = spans.withColumn("salt", F.pmod(F.xxhash64("g", "h", "first"), F.lit(SALTS)).cast("int"))
+    later = salted.join(origins.hint("merge"), ["k1", "k2", "salt"]).filter(~same | (F.col("first") > F.col("origin.last"))).select(*DOC, "first", "last").distinct()
 
     order = Window.partitionBy(*DOC).orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
