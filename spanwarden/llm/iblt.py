@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame
 functions only.
 
-A text's paragraphs (lines, and sentences within lines) become a set of 64-bit digests. A sketch has
+A text's paragraphs (lines that hold anything) become a set of 64-bit digests. A sketch has
 3 tables of ``SLOTS`` cells; every digest falls into one cell of each table, where its count, the xor
 of the digests and the xor of their checks are kept. Two sketches subtract cell by cell, digests that
 both hold cancel, and peeling (taking out the digest of a cell that holds one only, again and again)
@@ -14,9 +14,9 @@ no text, however long, is one large sketch.
 
 Likeness of two sets is their common part over their union, from the recovered difference.
 
-Defined cases: null texts are empty and have no paragraphs; two empty sets are alike (1.0). Rows that
-repeat an id and its text are one document for "the next", and all are returned. Ids are ordered with
-null last; the next of the last document is the first. An empty table gives an empty result.
+Defined cases: null texts are empty and have no paragraphs; two empty sets are alike (1.0). Every row is
+a document, rows that repeat an id too, and those of one id follow by a hash of their text. Ids are
+ordered with null last; the next of the last document is the first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from .workspace import Workspace
 SLOTS = 8
 TABLES = 3
 CELLS = SLOTS * TABLES
-PER_SKETCH = 4
+PER_SKETCH = 3
 SPLIT = 8
 MAX_LEVELS = 16
 
-#: A paragraph ends with its line; long ones are taken sentence by sentence.
-BREAK = r"\n+|(?<=[.!?])\x20+"
+#: A paragraph ends with its line.
+BREAK = r"\n+"
 
 
 def digests(text: Column) -> Column:
@@ -42,26 +42,45 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda s: F.xxhash64(s)))
 
 
-def _place(x: Column, level: int) -> list[Column]:
+def _places(x: Column, level: int) -> list[Column]:
     """The cells of a digest: one in each table."""
     h = x if level == 0 else F.xxhash64(x, F.lit(level))
-    return [F.shiftrightunsigned(h, 5 * t + 7).bitwiseAND(F.lit(SLOTS - 1)) + SLOTS * t for t in range(TABLES)]
+    return [F.shiftrightunsigned(h, 5 * t + 7).bitwiseAND(F.lit(SLOTS - 1)).cast("int") + SLOTS * t for t in range(TABLES)]
 
 
 def _check(x: Column) -> Column:
     return F.xxhash64(x, F.lit(977))
 
 
-def sketch(signed: Column, level: int = 0) -> Column:
-    """Cells (n, x, c) of an array of (x, sign)."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+def _placed(signed: Column, level: int) -> Column:
+    """(x, sign) with the check c and the places p0, p1, p2."""
+    return F.transform(signed, lambda s: F.struct(s["x"].alias("x"), s["sign"].alias("sign"), _check(s["x"]).alias("c"), *(p.alias(f"p{t}") for t, p in enumerate(_places(s["x"], level)))))
 
-    def cell(k: int) -> Column:
-        t = k // SLOTS
-        inside = F.filter(signed, lambda s: _place(s["x"], level)[t] == F.lit(k))
-        return F.aggregate(inside, empty, lambda a, s: F.struct((a["n"] + s["sign"]).alias("n"), a["x"].bitwiseXOR(s["x"]).alias("x"), a["c"].bitwiseXOR(_check(s["x"])).alias("c")))
 
-    return F.array(*(cell(k) for k in range(CELLS)))
+def _cell(k: Column, inside: Column) -> Column:
+    """Cell k (k, n, x, c) of the digests (x, sign, c) inside it."""
+    empty = F.struct(k.cast("int").alias("k"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+    return F.aggregate(inside, empty, lambda a, s: F.struct(a["k"].alias("k"), (a["n"] + s["sign"]).alias("n"), a["x"].bitwiseXOR(s["x"]).alias("x"), a["c"].bitwiseXOR(s["c"]).alias("c")))
+
+
+def _inside(placed: Column, k: int) -> Column:
+    return F.filter(placed, lambda s: s[f"p{k // SLOTS}"] == F.lit(k))
+
+
+def _in_use(placed: Column, k: Column) -> Column:
+    return F.filter(placed, lambda s: (s["p0"] == k) | (s["p1"] == k) | (s["p2"] == k))
+
+
+def sketched(df: DataFrame, digests_: str, out: str) -> DataFrame:
+    """Adds the sketch of a column of digests: all cells, as a document shows it."""
+    df = df.withColumn("__placed", _placed(with_sign(F.col(digests_), 1), 0))
+    return df.withColumn(out, F.array(*(_cell(F.lit(k), _inside(F.col("__placed"), k)) for k in range(CELLS)))).drop("__placed")
+
+
+def small_sketch(placed: Column) -> Column:
+    """The cells in use of a sketch of a few placed digests."""
+    used = F.array_distinct(F.flatten(F.transform(placed, lambda s: F.array(s["p0"], s["p1"], s["p2"]))))
+    return F.transform(used, lambda k: _cell(k, _in_use(placed, k)))
 
 
 def with_sign(xs: Column, sign: int) -> Column:
@@ -69,26 +88,33 @@ def with_sign(xs: Column, sign: int) -> Column:
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["c"].bitwiseXOR(q["c"]).alias("c")))
+    return F.zip_with(a, b, lambda p, q: F.struct(p["k"].alias("k"), (p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["c"].bitwiseXOR(q["c"]).alias("c")))
 
 
-def peel(cells: Column, level: int = 0) -> Column:
-    """(cells, found): what is left of the cells, and the digests taken out, as (x, sign)."""
-    begin = F.struct(cells.alias("cells"), F.array().cast("array<struct<x:bigint,sign:int>>").alias("found"))
+def peel(cells: Column, rounds: Column, level: int = 0) -> Column:
+    """(cells, found, stuck): what is left of the cells after so many rounds, and the digests taken out,
+    as (x, sign). A round takes out the digests of all cells that hold one only; none ends the work."""
+    begin = F.struct(cells.alias("cells"), F.array().cast("array<struct<x:bigint,sign:int>>").alias("found"), F.lit(False).alias("stuck"))
 
-    def step(acc: Column, _: Column) -> Column:
-        pure = F.get(F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"]))), F.lit(0))
-        at = _place(pure["x"], level)
+    def pure(acc: Column) -> Column:
+        alone = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
+        return F.array_distinct(F.transform(alone, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("sign"))))
 
-        def without(c: Column, k: Column) -> Column:
-            hit = (k == at[0]) | (k == at[1]) | (k == at[2])
-            less = F.struct((c["n"] - pure["n"]).alias("n"), c["x"].bitwiseXOR(pure["x"]).alias("x"), c["c"].bitwiseXOR(pure["c"]).alias("c"))
-            return F.when(hit, less).otherwise(c)
+    def less(c: Column, p: Column) -> Column:
+        return F.struct(c["k"].alias("k"), (c["n"] - p["sign"]).alias("n"), c["x"].bitwiseXOR(p["x"]).alias("x"), c["c"].bitwiseXOR(p["c"]).alias("c"))
 
-        taken = F.struct(F.transform(acc["cells"], without).alias("cells"), F.concat(acc["found"], F.array(F.struct(pure["x"].alias("x"), pure["n"].alias("sign")))).alias("found"))
-        return F.when(pure.isNull(), acc).otherwise(taken)
+    def step(acc: Column, _: Column) -> Column:
+        # a list of one, for its lambda names what the round takes out
+        after = F.transform(
+            F.array(pure(acc)),
+            lambda found: F.transform(
+                F.array(_placed(found, level)),
+                lambda placed: F.struct(F.transform(acc["cells"], lambda c: F.aggregate(_in_use(placed, c["k"]), c, less)).alias("cells"), F.concat(acc["found"], found).alias("found"), (F.size(found) == 0).alias("stuck")),
+            )[0],
+        )[0]
+        return F.when(acc["stuck"], acc).otherwise(after)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), begin, step)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), rounds)), begin, step)
 
 
 def is_empty(cells: Column) -> Column:
@@ -100,81 +126,94 @@ def as_text(cells: Column, size: Column) -> Column:
     return F.concat(size.cast("string"), F.lit(":"), F.base64(F.unhex(F.array_join(hexed, ""))))
 
 
-def differences(ws: Workspace, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n (digests that differ), only_a, only_b for pairs of digest arrays a and b with their
-    sketches sa and sb. The keys are unique."""
-    first = ws.save(pairs.withColumn("peeled", peel(subtract(F.col("sa"), F.col("sb")))).withColumn("done", is_empty(F.col("peeled.cells"))).select(*keys, F.when(F.col("done"), F.col("peeled.found")).alias("found"), "done", F.when(~F.col("done"), F.col("a")).alias("a"), F.when(~F.col("done"), F.col("b")).alias("b")), "peeled-0")
-    found = first.filter("done").select(*keys, "found")
-    failed = first.filter("not done")
-    scale = F.pow(F.lit(2), F.greatest(F.lit(1), F.ceil(F.log2((F.size("a") + F.size("b")) / PER_SKETCH)))).cast("long")
-    items = failed.select(*keys, scale.alias("scale"), F.explode(F.concat(with_sign(F.col("a"), 1), with_sign(F.col("b"), -1))).alias("s"))
-    bucket = F.pmod(F.shiftrightunsigned(F.col("s.x"), 24), F.col("scale"))
+def differences(ws: Workspace, pairs: DataFrame, keys: list[str], recover: bool = True) -> DataFrame:
+    """keys, n (digests that differ) and, with ``recover``, only_a and only_b, for pairs of digest arrays
+    a and b. The keys are unique; where pairs are dealt out by one of them, no further shuffle is made
+    of their digests."""
+    if "sa" not in pairs.columns:
+        pairs = sketched(sketched(pairs, "a", "sa"), "b", "sb")
+    first = pairs.withColumn("apart", subtract(F.col("sa"), F.col("sb"))).withColumn("p", peel(F.col("apart"), F.lit(CELLS)))
+    done = is_empty(F.col("p.cells"))
+    items = F.when(~done, F.concat(with_sign(F.col("a"), 1), with_sign(F.col("b"), -1)))
+    # no null structs in what is gathered: a pair that is done gathers nothing and keeps what it found
+    first = first.select(*keys, F.when(done, F.col("p.found")).alias("found"), F.pow(F.lit(2), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(1), F.size("a") + F.size("b")) / PER_SKETCH)))).cast("long").alias("scale"), items.alias("items"))
+    rows = first.select(*keys, "scale", "found", F.explode_outer("items").alias("s"))
+    bucket = F.coalesce(F.pmod(F.shiftrightunsigned(F.col("s.x"), 24), F.col("scale")), F.lit(-1))
+    kept = None
     for level in range(1, MAX_LEVELS + 1):
-        each = items.groupBy(*keys, "scale", bucket.alias("bucket")).agg(F.collect_list("s").alias("s"))
-        each = each.withColumn("peeled", peel(sketch(F.col("s"), level), level)).withColumn("done", is_empty(F.col("peeled.cells")))
-        each = ws.save(each.select(*keys, "scale", "bucket", F.when(F.col("done"), F.col("peeled.found")).alias("found"), "done", F.when(~F.col("done"), F.col("s")).alias("s")), f"peeled-{level}")
-        found = found.unionByName(each.filter("done").select(*keys, "found"))
+        before = [F.first("found").alias("found")] if level == 1 else []
+        each = rows.groupBy(*keys, "scale", bucket.alias("bucket")).agg(F.collect_list("s").alias("s"), *before)
+        each = each.withColumn("placed", _placed(F.col("s"), level)).withColumn("sketch", small_sketch(F.col("placed"))).withColumn("p", peel(F.col("sketch"), F.size("s"), level)).withColumn("done", is_empty(F.col("p.cells")))
+        found = F.coalesce("found", "p.found") if level == 1 else F.col("p.found")
+        shown = [F.when(F.col("done"), found if recover else F.size(found)).alias("found")]
+        each = ws.save(each.select(*keys, "scale", "bucket", *shown, "done", F.when(~F.col("done"), F.col("s")).alias("s")), f"peeled-{level}")
+        part = each.filter("done").select(*keys, "found")
+        kept = part if kept is None else kept.unionByName(part)
         left = each.filter("not done")
         if left.isEmpty():
             break
-        items = left.select(*keys, F.xxhash64("scale", "bucket").alias("scale"), F.explode("s").alias("s"))
+        rows = left.select(*keys, F.xxhash64("scale", "bucket").alias("scale"), F.explode("s").alias("s"))
         bucket = F.pmod(F.xxhash64("s.x", F.lit(level)), F.lit(SPLIT))
     else:
         raise RuntimeError(f"sketches still fail at level {MAX_LEVELS}")
+    if not recover:
+        return kept.groupBy(*keys).agg(F.sum("found").alias("n"))
     only = lambda sign: F.flatten(F.collect_list(F.transform(F.filter("found", lambda s: s["sign"] == sign), lambda s: s["x"])))
-    return found.groupBy(*keys).agg(F.sum(F.size("found")).alias("n"), only(1).alias("only_a"), only(-1).alias("only_b"))
+    return kept.groupBy(*keys).agg(F.sum(F.size("found")).alias("n"), only(1).alias("only_a"), only(-1).alias("only_b"))
 
 
 def likeness(size_a: Column, size_b: Column, n: Column) -> Column:
     return F.when(size_a + size_b + n == 0, F.lit(1.0)).otherwise((size_a + size_b - n) / (size_a + size_b + n))
 
 
-def following(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """keys (g, h, doc_id, n_chars) with ng, nh: the keys of the next document, by descending id.
-
-    Documents are range-sorted; the ends of the ranges, a row for each, are joined to their successors.
-    """
-    n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("g"), F.col("h")]
-    ranged = ws.save(keys.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    own = Window.partitionBy("part").orderBy(*order)
-    rows = ranged.withColumn("next", F.lead(F.struct("g", "h")).over(own))
-    heads = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.col("g"), F.col("h"))).alias("m")).select("part", F.struct(F.col("m.g").alias("g"), F.col("m.h").alias("h")).alias("head"))
-    line = Window.orderBy("part")  # one row for each range
-    heads = heads.select("part", F.coalesce(F.lead("head").over(line), F.first("head").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    rows = rows.join(heads, "part").withColumn("next", F.coalesce("next", "after"))
-    return rows.select("g", "h", "doc_id", "n_chars", "copies", F.col("next.g").alias("ng"), F.col("next.h").alias("nh"))
+def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text, part, ghost: documents dealt into parts, which are ranges of descending ids, so that
+    windows of parts see a document and its next. The first document of each part stands once more, as
+    a ghost, at the end of the part before it; that of the first part at the end of the last.
+
+    Only limits between parts and one row a part are handled outside the parts."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = F.array(*(F.lit((k + 1) / n) for k in range(n - 1))) if n > 1 else F.array(F.lit(1.0))
+    limits = docs.agg(F.percentile_approx("doc_id", steps, 20 * n).alias("q")).first().q or []
+    limits = sorted(set(limits), reverse=True)
+    part = F.lit(len(limits) + 1)  # null ids are last
+    found = F.size(F.filter(F.array(*(F.lit(x) for x in limits)), lambda x: x >= F.col("doc_id"))) if limits else F.lit(0)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.when(F.col("doc_id").isNull(), part).otherwise(found)).withColumn("h", F.xxhash64("text"))
+    order = F.struct((F.col("doc_id").isNull()).alias("no_id"), (-F.col("doc_id")).alias("minus"), "h")
+    heads = [r.head for r in rows.groupBy("part").agg(F.min(order).alias("head"), F.first("part").alias("p")).select(F.struct("p", "head").alias("head")).collect()]  # one for each part
+    heads.sort(key=lambda r: r.p)
+    if not heads:
+        return rows.withColumn("ghost", F.lit(False))
+    wanted = spark.createDataFrame([(None if r.head.minus is None else -r.head.minus, r.head.h, heads[i - 1].p) for i, r in enumerate(heads)], f"w_id {dict(docs.dtypes)['doc_id']}, w_h long, before int")
+    ghosts = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).dropDuplicates(["before"])
+    ghosts = ghosts.select("doc_id", "text", F.col("before").alias("part"), "h", F.lit(True).alias("ghost"))
+    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
 def edited_pairs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The edited text has its last third replaced by the beginning of the next
-    document's text."""
+    document's text. Texts are shuffled once; what follows are digests."""
     ws = Workspace(spark, "fingerprints")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.lit(5), "text"))
-    keys = keyed.select("g", "h", "doc_id", F.length("text").cast("long").alias("n_chars")).groupBy("g", "h", "doc_id", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
-    order = ws.save(following(ws, keys), "order")
-
-    asked = order.select(F.col("ng").alias("g"), F.col("nh").alias("h"), F.col("g").alias("og"), F.col("h").alias("oh"), F.floor(F.col("n_chars") / 3).cast("int").alias("k"))
-    heads = keyed.join(asked, ["g", "h"]).select(F.col("og").alias("g"), F.col("oh").alias("h"), F.substring("text", F.lit(1), F.col("k")).alias("head")).dropDuplicates(["g", "h"])
-    both = keyed.drop("doc_id").join(heads, ["g", "h"]).dropDuplicates(["g", "h"])
-    kept = F.length("text") - F.floor(F.length("text") / 3)
-    both = both.select("g", "h", "text", F.concat(F.substring("text", F.lit(1), kept.cast("int")), "head").alias("edited"))
-    rows = both.select("g", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
+    order = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h")
+    rows = in_order(spark, docs).withColumn("row", F.row_number().over(order)).withColumn("after", F.lead("text").over(order))
+    size = F.length("text")
+    cut = F.floor(size / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (size - cut).cast("int")), F.substring("after", F.lit(1), cut))
+    rows = rows.select("part", "row", "ghost", "doc_id", size.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.coalesce(edited, F.lit(""))).alias("e"))
     rows = ws.save(rows, "digests")
-    rows = ws.save(rows.select("*", sketch(with_sign(F.col("a"), 1)).alias("sa"), sketch(with_sign(F.col("e"), 1)).alias("se")), "sketches")
-    ws.drop("digests")
-
-    edits = rows.select("g", "h", F.lit(0).alias("kind"), "a", "sa", F.col("e").alias("b"), F.col("se").alias("sb"))
-    other = rows.select(F.col("g").alias("ng"), F.col("h").alias("nh"), F.col("a").alias("b"), F.col("sa").alias("sb"))
-    nexts = rows.select("g", "h", "a", "sa").join(order.select("g", "h", "ng", "nh"), ["g", "h"]).join(other, ["ng", "nh"]).select("g", "h", F.lit(1).alias("kind"), "a", "sa", "b", "sb")
-    n = differences(ws, edits.unionByName(nexts), ["g", "h", "kind"])
-    n = ws.save(n.groupBy("g", "h").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("n_edited"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("n_next")), "counts")
-
-    sizes = rows.select(F.col("g").alias("ng"), F.col("h").alias("nh"), F.size("a").alias("next_size"))
-    shown = rows.select("g", "h", "edited_sha256", F.size("a").alias("size_a"), F.size("e").alias("size_e"), as_text(F.col("sa"), F.size("a")).alias("fingerprint"), as_text(F.col("se"), F.size("e")).alias("edited_fingerprint"))
-    out = order.join(sizes, ["ng", "nh"]).join(n, ["g", "h"]).join(shown, ["g", "h"])
-    out = out.withColumn("near_edited", likeness(F.col("size_a"), F.col("size_e"), F.col("n_edited"))).withColumn("near_next", likeness(F.col("size_a"), F.col("next_size"), F.col("n_next")))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+    by_row = Window.partitionBy("part").orderBy("row")
+    each = sketched(sketched(rows.select("part", "row", "ghost", "a", "e").repartition("part"), "a", "sa"), "e", "se")
+    each = each.withColumn("b", F.lead("a").over(by_row)).withColumn("sb", F.lead("sa").over(by_row)).filter("not ghost")
+    other = F.array(F.struct(F.col("e").alias("b"), F.col("se").alias("sb")), F.struct(F.col("b"), F.col("sb")))
+    pairs = each.select("part", "row", "a", "sa", F.size("b").alias("next_size"), F.posexplode(other).alias("kind", "o")).select("part", "row", "kind", "next_size", "a", "sa", "o.b", "o.sb")
+    n = differences(ws, pairs, ["part", "row", "kind", "next_size"], recover=False)
+    n = n.groupBy("part", "row", "next_size").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("n_edited"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("n_next"))
+    out = rows.filter("not ghost").join(ws.save(n, "counts").hint("merge"), ["part", "row"])
+    out = sketched(sketched(out, "a", "sa"), "e", "se")
+    size_a, size_e = F.size("a"), F.size("e")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sa"), size_a).alias("fingerprint"), as_text(F.col("se"), size_e).alias("edited_fingerprint"),
+        likeness(size_a, size_e, F.col("n_edited")).alias("near_edited"), likeness(size_a, F.col("next_size"), F.col("n_next")).alias("near_next"),
+    )

@@ -7,7 +7,7 @@ from spanwarden.llm.workspace import Workspace
 
 
 def parts(text):
-    return {s for s in re.split(r"\n+|(?<=[.!?]) +", text or "") if s}
+    return {s for s in re.split(r"\n+", text or "") if s}
 
 
 def like(a, b):
