@@ -143,8 +143,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = ws.save(stored.select(F.col("__row").alias("row"), "doc_id", "source", word_count(text_of("text")).alias("size")), "sizes")
     m = mix(ws, sizes)
     takes = m.spans.groupBy("row", "pass").agg(F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spans"))
-    takes = takes.join(m.documents.select("row", F.col("size").alias("__size")).hint("merge"), "row").drop("pass")
-    rows = stored.join(takes.hint("merge"), F.col("__row") == F.col("row")).drop("row")
+    takes = takes.join(m.documents.select("row", F.col("size").alias("__size")).hint("merge"), "row").select(F.col("row").alias("__row"), "__n", "__spans", "__size")
+    rows = stored.join(takes.hint("merge"), "__row")
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["n"].cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(part))

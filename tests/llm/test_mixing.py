@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanwarden.llm import mixing
 
@@ -57,6 +58,8 @@ def test_documents_hold_what_was_taken(spark):
     taken = {r.doc_id: r.taken for r in mixing.shares(spark, df).filter("doc_id < 900").collect()}
     out = mixing.mixed_documents(spark, df)
     assert out.columns == df.columns
+    clash = df.select("*", *(F.lit(1).alias(c) for c in ("row", "pass", "target", "start", "n", "off")))
+    assert mixing.mixed_documents(spark, clash).columns == clash.columns
     words, whole = {}, {r[0]: r[1] for r in rows}
     for r in out.filter("doc_id < 900").collect():
         part = r.text.split()
