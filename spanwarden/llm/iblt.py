@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame
 functions only.
 
-A text's paragraphs (lines that hold anything) become a set of 64-bit digests. A sketch has
+A text's paragraphs (lines, and sentences within lines) become a set of 64-bit digests. A sketch has
 3 tables of ``SLOTS`` cells; every digest falls into one cell of each table, where its count, the xor
 of the digests and the xor of their checks are kept. Two sketches subtract cell by cell, digests that
 both hold cancel, and peeling (taking out the digest of a cell that holds one only, again and again)
@@ -33,8 +33,10 @@ PER_SKETCH = 3
 SPLIT = 8
 MAX_LEVELS = 16
 
-#: A paragraph ends with its line.
-BREAK = r"\n+"
+#: A paragraph ends with its line; long ones are taken sentence by sentence.
+BREAK = r"\n+|(?<=[.!?])\x20+"
+#: Ranges of ids for each shuffle partition, which hash to partitions evenly enough.
+PARTS = 3
 
 
 def digests(text: Column) -> Column:
@@ -172,7 +174,7 @@ def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
     a ghost, at the end of the part before it; that of the first part at the end of the last.
 
     Only limits between parts and one row a part are handled outside the parts."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = F.array(*(F.lit((k + 1) / n) for k in range(n - 1))) if n > 1 else F.array(F.lit(1.0))
     limits = docs.agg(F.percentile_approx("doc_id", steps, 20 * n).alias("q")).first().q or []
     limits = sorted(set(limits), reverse=True)
