@@ -34,6 +34,8 @@ from .workspace import Workspace
 REVISIT_BYTES = 1000
 CHUNK = 1 << 20
 ARCHIVE_ROWS = 4000
+#: Whole-file streams are read once, members are kept.
+STREAM_LEVEL, MEMBER_LEVEL = 1, 6
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -118,7 +120,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, least:
                 if out is None:
                     paths.append(f"{folder}/{uuid.uuid4().hex}.warc.gz")
                     counts.append(0)
-                    out, deflate = _Whole(paths[-1]), zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out, deflate = _Whole(paths[-1]), zlib.compressobj(STREAM_LEVEL, zlib.DEFLATED, 31)
                 payload = (html.as_py() or "").encode()
                 out.write(deflate.compress(record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), hashlib.sha1(payload).digest(), len(payload))))
                 counts[-1] += 1
@@ -191,7 +193,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 out, index, at = _Whole(target), _Whole(target + ".index"), 0
                 rows: list[tuple] = []
                 for head, whole in split_records(inflated(source)):
-                    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    squeeze = zlib.compressobj(MEMBER_LEVEL, zlib.DEFLATED, 31)
                     member = squeeze.compress(whole) + squeeze.flush()
                     out.write(member)
                     rows.append((target, at, len(member), head["warc-record-id"], head["warc-type"]))
