@@ -15,6 +15,7 @@ from ..operators import actions, crossings, evaluation
 from ..operators.detect import detect, exploded
 from ..operators.policy import Config, Exemption, PolicyRule, policy_actions, route
 from ..rules import SHIPPED
+from ..session import reach_workers
 from ..streaming import guard, sse
 
 RULE = {r.id: r for r in SHIPPED}
@@ -28,7 +29,7 @@ POLICY = Config(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
