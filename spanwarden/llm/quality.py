@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from .bytebatch import pieces, word_hashes, words
 from .text import id_residue
 
@@ -139,6 +140,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], weights: dict[int,
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
     """Fits on rows of ``docs`` that ``labels`` marks and that are not held out."""
+    reach_workers(spark)
     known = (
         labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("label"))
         .filter("label in (0, 1) and key is not null").groupBy("key").agg(F.min("label").alias("label"))
@@ -163,7 +165,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_train: i
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    shared = spark.sparkContext.broadcast(model)  # 2 ** BUCKET_BITS numbers, whatever the input
+    shared = reach_workers(spark).sparkContext.broadcast(model)  # 2 ** BUCKET_BITS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that the model rejects; all columns stay as they are."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = reach_workers(spark).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

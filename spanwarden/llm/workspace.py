@@ -12,16 +12,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reach_workers
+
+
+_own: dict[str, str] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local folder is set only where that is unset and
-    Spark runs in one process."""
+    """The folder of ``spark.checkpoint.dir``; a local folder of this application serves only where that
+    is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        root = _own[app]
     return root.rstrip("/")
 
 
@@ -29,7 +36,7 @@ class Workspace:
     """A folder of intermediate tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None):
-        self.spark = spark
+        self.spark = reach_workers(spark)
         self.root = path or f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if path is None:
             atexit.register(self._forget)
