@@ -3,7 +3,7 @@
 A text is the average of learned vectors, one for each hashed word, each hashed character n-gram
 (bytes of UTF-8, 3 to 5 long, a word's edges count as characters) and each pair of neighbouring words
 (the same word twice or not); a softmax over the average gives
-the score. Trained by plain numpy stochastic gradient descent on the driver.
+the score. Trained by plain numpy stochastic gradient descent in one task.
 
 The fit uses a bounded sample: at most ``MAX_TRAIN`` labelled texts of each class, those with the
 smallest hash of their id, each reduced on the executors to bucket counts; weights restore the class
@@ -147,20 +147,35 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_train: i
         .filter(id_residue("key", 4) != 2)
     )
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = shares.get(1, 0) / sum(shares.values()) if shares else 1.0
+    plain = Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if set(shares) != {0, 1}:
-        share = shares.get(1, 0) / sum(shares.values()) if shares else 1.0
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return plain
     picked = None
     for label in (0, 1):
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(max_train)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(picked), "key")  # 2 * max_train rows
-    rows = texts.mapInArrow(_counts, "key long, label int, buckets binary, counts binary").toArrow().sort_by("key")
-    samples = [(lab, np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4")) for lab, b, c in zip(*(rows.column(k).to_pylist() for k in ("label", "buckets", "counts")), strict=True)]
-    drawn = {k: max(1, sum(s[0] == k for s in samples)) for k in (0, 1)}
-    total = sum(shares.values())
-    raw = {k: shares[k] / total / (drawn[k] / max(1, len(samples))) for k in (0, 1)}
-    return train(samples, raw)
+    rows = texts.mapInArrow(_counts, "key long, label int, buckets binary, counts binary")
+    # at most 2 * max_train rows meet in one task; the driver gets the model alone
+    fitted = rows.repartition(1).mapInArrow(_trainer(shares), "bucket_table binary, bias double").first()
+    return Model(np.frombuffer(bytes(fitted.bucket_table), np.float32), fitted.bias) if fitted else plain
+
+
+def _trainer(shares: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(k).to_pylist() for k in ("key", "label", "buckets", "counts")), strict=True)
+        if not rows:
+            return
+        samples = [(lab, np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4")) for _, lab, b, c in sorted(rows)]
+        drawn = {k: max(1, sum(s[0] == k for s in samples)) for k in (0, 1)}
+        weights = {k: shares[k] / sum(shares.values()) / (drawn[k] / max(1, len(samples))) for k in (0, 1)}
+        model = train(samples, weights)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["bucket_table", "bias"])
+
+    return run
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

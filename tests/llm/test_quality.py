@@ -72,6 +72,8 @@ def test_without_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(spark, d, quality.fit(spark, d, none)).first().score > 0.99
     assert quality.score(spark, d.limit(0), quality.fit(spark, d, none)).count() == 0
+    strangers = spark.createDataFrame([(k, k % 2, 0) for k in range(50, 80)], "doc_id long, quality int, toxic int")
+    assert 0.3 < quality.score(spark, d, quality.fit(spark, d, strangers)).first().score < 0.7
 
 
 def test_pieces_do_not_matter(monkeypatch):
