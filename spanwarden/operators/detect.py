@@ -6,6 +6,7 @@ whatever the number of findings. A cheap whole-text pattern gates the work of ea
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -40,7 +41,15 @@ def candidates(chars: Column, rule: Rule) -> Column:
     return F.when(chars.rlike(f"^{anchor(rule)}"), placed).otherwise(F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))))
 
 
-def rule_findings(chars: Column, rule: Rule) -> Column:
+def may_hold(rule: Rule, low: Column, digit: Column) -> Column:
+    """A cheap condition that every text with a finding meets: one of the rule's keywords in the
+    lower-cased text, or a digit."""
+    if rule.kind != "literal":
+        return digit
+    return functools.reduce(lambda a, b: a | b, (low.contains(k.lower()) for k in rule.keywords if k))
+
+
+def rule_findings(chars: Column, rule: Rule, low: Column, digit: Column) -> Column:
     """Array of the rule's findings, each once."""
     group = rule.group
     text = rule.pattern if group == 0 else with_prefix_group(rule.pattern, group)
@@ -60,7 +69,7 @@ def rule_findings(chars: Column, rule: Rule) -> Column:
     hits = F.filter(F.transform(candidates(chars, rule), window), lambda w: (w["place"] > 0) & (w["base"] + w["place"] - 1 >= w["at"]))
     valid = F.filter(F.transform(hits, value), lambda v: all_hold(rule.validators, v["value"]))
     shown = F.transform(valid, lambda v: F.struct(v["start"].cast("int").alias("start"), (v["start"] + F.length(v["value"])).cast("int").alias("end"), F.lit(rule.id).alias("rule_id"), F.lit(rule.class_).alias("class"), F.lit(rule.confidence).alias("confidence")))
-    return F.when(chars.rlike(gate(rule)), F.array_distinct(shown)).otherwise(F.array().cast(FINDINGS))
+    return F.when(may_hold(rule, low, digit) & chars.rlike(gate(rule)), F.array_distinct(shown)).otherwise(F.array().cast(FINDINGS))
 
 
 def _python_findings(rules: Sequence[Rule]):
@@ -83,12 +92,13 @@ def detect(df: DataFrame, column: str = "text", rules: Sequence[Rule] = SHIPPED,
     native = [] if python else [r for r in rules if is_native(r)]
     other = [r for r in rules if r not in native]
     chars = F.coalesce(byte_chars(F.col(column), binary), F.lit(""))
-    df = df.withColumn("__chars", chars) if native else df
-    parts = [rule_findings(F.col("__chars"), r) for r in native]
+    if native:
+        df = df.withColumn("__chars", chars).withColumn("__low", F.lower("__chars")).withColumn("__digit", F.col("__chars").rlike("[0-9]"))
+    parts = [rule_findings(F.col("__chars"), r, F.col("__low"), F.col("__digit")) for r in native]
     if other:
         parts.append(_python_findings(other)(F.col(column) if binary else F.encode(F.col(column), "UTF-8")))
     all_ = F.concat(*parts) if parts else F.array().cast(FINDINGS)
-    return df.withColumn(out, F.array_sort(all_)).drop("__chars")
+    return df.withColumn(out, F.array_sort(all_)).drop("__chars", "__low", "__digit")
 
 
 def exploded(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
