@@ -5,9 +5,7 @@ form its signature. Texts with one shingle set collapse to their smallest id at
 
 Forest: ``TREES`` orders of the signature, tree t reading it from place 4t on. Within a tree the
 texts sort by that order and texts with a common prefix are neighbours; a region is a set of texts
-that share a prefix of at least ``DEPTH`` minima. Regions of more than ``REGION`` texts are split by
-reading on to twice and three times that depth, and, where even the longest prefix leaves more, by
-order of id with the region's first text as a common neighbour: the depth adapts to each region.
+that share a prefix of ``DEPTH`` minima, whatever their number.
 
 Links are confirmed on full shingle sets, in rounds:
 
@@ -16,10 +14,15 @@ Links are confirmed on full shingle sets, in rounds:
 2. every region that still holds several components is resolved exactly: the common shingles of all
    its texts are counted by products of incidence matrices, and each text is linked to the first text
    that it reaches within the region. A region emits a row for each text at most, never its pairs.
+   Regions of more than ``REGION`` texts are dealt into slots by id, twice, which joins most of what
+   belongs together;
+3. in a region of more than ``REGION`` texts that still holds several components, each text outside
+   the largest component meets every text of the region: the texts of the largest and the others stand
+   in slots, and every two slots of which one is of the others are resolved as one block.
 
-A pair at the threshold of 0.75 shares no prefix of 4 in any of 32 trees with a chance of 5 in
-1,000,000, which falls fast with likeness; in regions of more than ``REGION`` different texts the
-longer prefixes raise it. Components are distributed large-star/small-star rounds.
+So any two texts that share a region are in one component or were compared. A pair at the threshold of
+0.75 shares no prefix of 4 in any of 32 trees with a chance of 5 in 1,000,000, which falls fast with
+likeness. Components are distributed large-star/small-star rounds.
 
 Defined cases: words are what lies between white space after lower-casing A-Z; fewer than five words
 are one shingle; null or empty texts have no shingle and are linked with nothing. Repeated ids count
@@ -45,7 +48,6 @@ SHINGLE = 5
 SIGNATURE = 128
 TREES = 32
 DEPTH = 4
-DEEPEST = 3
 REGION = 1024
 COLUMNS = 4096
 NUM, DEN = 75, 100
@@ -105,10 +107,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _prefix_keys(sig: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
-    """A 64-bit key of the tree and its first DEPTH * level minima, for rows of signatures."""
+def _prefix_keys(sig: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the tree and its first DEPTH minima, for rows of signatures."""
     key = mix64(tree.astype(np.uint64) + np.uint64(1 << 20))
-    for k in range(DEPTH * level):
+    for k in range(DEPTH):
         place = (tree * DEPTH + k) % SIGNATURE
         key = mix64(key * _STEP + sig[np.arange(len(tree)), place])
     return key.view(np.int64)
@@ -119,7 +121,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, tree, region for every text and tree, at the least depth."""
+    """id, region for every text and tree."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -127,16 +129,7 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = np.repeat(np.arange(TREES), n)
             sig = np.tile(_signatures(part.column("sig")), (TREES, 1))
             ids = pa.concat_arrays([part.column("id")] * TREES)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(tree.astype(np.int32)), pa.array(_prefix_keys(sig, tree, 1))], names=["id", "tree", "region"])
-
-
-def _deeper(level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tree = batch.column("tree").to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tree"), pa.array(_prefix_keys(_signatures(batch.column("sig")), tree, level))], names=["id", "tree", "region"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_prefix_keys(sig, tree))], names=["id", "region"])
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -147,23 +140,40 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 def regions(ws: Workspace, reps: DataFrame) -> DataFrame:
     """id, region, first, compare: the regions of the forest and the first text of each. Regions of more
-    than REGION texts are there for their first text alone (compare is false); their texts stand again
-    in the regions that they were split into."""
+    than REGION texts (compare is false) are resolved by ``blocks``; their texts stand again in slots that
+    they were dealt into, as their own first."""
     kind = dict(reps.dtypes)["id"]
-    schema = f"id {kind}, tree int, region long"
-    rows = ws.save(_sized(reps.select("id", "sig").mapInArrow(_region_rows, schema)), "regions-1")
+    rows = ws.save(_sized(reps.select("id", "sig").mapInArrow(_region_rows, f"id {kind}, region long")), "regions-1")
     out = rows.select("id", "region", "first", (F.col("size") <= REGION).alias("compare"))
-    large = rows.filter(F.col("size") > REGION)
-    for level in range(2, DEEPEST + 1):
-        if large.isEmpty():
-            return out
-        deeper = large.select("id", "tree").join(reps.select("id", "sig"), "id").mapInArrow(_deeper(level), schema)
-        rows = ws.save(_sized(deeper), f"regions-{level}")
-        out = out.unionByName(rows.select("id", "region", "first", (F.col("size") <= REGION).alias("compare")))
-        large = rows.filter(F.col("size") > REGION)
     slots = F.ceil(F.col("size") / REGION)
-    rest = large.withColumn("region", F.xxhash64("region", F.pmod(F.xxhash64("id"), slots), F.lit(3))).select("id", "region", "first", F.lit(True).alias("compare"))
-    return out.unionByName(rest)
+    for deal in (3, 5):
+        slot = F.xxhash64("region", F.pmod(F.xxhash64("id", F.lit(deal)), slots), F.lit(deal))
+        out = out.unionByName(rows.filter(F.col("size") > REGION).select("id", slot.alias("region"), F.col("id").alias("first"), F.lit(True).alias("compare")))
+    return out
+
+
+def _several(labelled: DataFrame) -> DataFrame:
+    """The regions of several components; of regions with the same texts, as different trees give, one."""
+    groups = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    return groups.filter("lo != hi").groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region")
+
+
+def blocks(labelled: DataFrame) -> DataFrame:
+    """id, region, others, x, y: blocks of at most about REGION texts in which any two texts of a region
+    meet whose labels differ. A text of the most frequent label stands once for each slot of the others,
+    so rows grow with the region's size times the slots that the others fill."""
+    half = max(1, REGION // 2)
+    labels = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = labels.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
+    rows = labelled.join(main, "region").withColumn("other", F.col("label") != F.col("main.label"))
+    rows = rows.withColumn("k_main", F.ceil(F.col("main.n") / half)).withColumn("k_other", F.ceil((F.col("size") - F.col("main.n")) / half))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("other"), F.col("k_other")).otherwise(F.col("k_main"))))
+    slot, block = F.col("slot"), lambda others, x, y: F.struct(F.lit(others).alias("others"), x.alias("x"), y.alias("y"))
+    of_main, of_other = F.sequence(F.lit(0).cast("long"), F.col("k_main") - 1), F.sequence(F.lit(0).cast("long"), F.col("k_other") - 1)
+    with_main = F.transform(of_main, lambda s: block(False, s, slot))
+    with_others = F.transform(F.filter(of_other, lambda s: s != slot), lambda s: block(True, F.least(s, slot), F.greatest(s, slot)))
+    at = F.when(F.col("other"), F.concat(with_main, with_others)).otherwise(F.transform(of_other, lambda s: block(False, slot, s)))
+    return rows.select("id", "region", F.explode(at).alias("at")).select("id", "region", "at.*")
 
 
 def _linked(table: pa.Table) -> pa.Table:
@@ -245,13 +255,18 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("first")).alias("minus"))).alias("v"))
     links = confirmed(ws, sets, best.select(F.col("id").alias("a"), (-F.col("v.minus")).alias("b")), "votes")
     found = ws.save(components(ws, links, "star-votes"), "components-votes")
-    labelled = near.filter("compare").join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    # regions of several components; of regions with the same texts, as different trees give, one
-    several = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    several = several.filter("lo != hi").groupBy("size", "x", "y").agg(F.min("region").alias("region"))
-    rows = labelled.join(several.select("region"), "region", "left_semi").select("region", "id").join(sets, "id")
+    label = F.coalesce("label", "id").alias("label")
+    labelled = near.filter("compare").join(found, "id", "left").select("region", "id", label)
+    rows = labelled.join(_several(labelled), "region", "left_semi").select("region", "id").join(sets, "id")
     rest = ws.save(rows.groupBy("region").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-regions")
-    found = ws.save(components(ws, links.unionByName(rest), "star-regions"), "components-regions")
+    links = links.unionByName(rest)
+    found = ws.save(components(ws, links, "star-regions"), "components-regions")
+    labelled = near.filter("not compare").join(found, "id", "left").select("region", "id", label)
+    large = ws.save(labelled.join(_several(labelled), "region", "left_semi"), "large")
+    if not large.isEmpty():
+        rows = blocks(large).hint("merge").join(sets, "id")
+        rest = ws.save(rows.groupBy("region", "others", "x", "y").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-blocks")
+        found = ws.save(components(ws, links.unionByName(rest), "star-blocks"), "components-blocks")
     ws.drop("sets", "regions", "regions-1")
 
     of_class = classes.join(found, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))

@@ -86,3 +86,37 @@ def test_nulls_repeats_and_long_texts(spark):
 
 def test_empty(spark):
     assert near_dedup.near_classes(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_region_links_to_a_text_that_is_not_first(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(words, places):
+        return [f"x{rng.randrange(10**9)}" if at in places else w for at, w in enumerate(words)]
+
+    rows = []
+    for i in range(40):
+        # edits 5 words apart: members are alike (0.95), a copy is linked to its member (0.756) and to no other (0.718)
+        at = rng.sample(range(4, 396, 5), 12)
+        member = edited(base, at[:1])
+        rows.append((i, " ".join(member)))
+        if i >= 28:
+            rows.append((1000 + i, " ".join(edited(member, at[1:]))))
+    want = brute(rows)
+    assert {c for _, _, c in want} == {0}
+    got = near_dedup.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_every_two_texts_of_different_components_share_a_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    label = {i: 0 if i < 30 else i - i % 3 for i in range(50)}
+    given = spark.createDataFrame([(1, i, label[i]) for i in label] + [(2, i, label[i]) for i in range(25, 40)], "region long, id long, label long")
+    met = {}
+    for r in near_dedup.blocks(given).collect():
+        met.setdefault((r.region, r.others, r.x, r.y), set()).add(r.id)
+    for region, ids in ((1, range(50)), (2, range(25, 40))):
+        together = {(a, b) for (g, *_), m in met.items() if g == region for a in m for b in m}
+        assert all((a, b) in together for a in ids for b in ids if label[a] != label[b])
