@@ -10,8 +10,11 @@ longer one are excluded; below the empty context all symbols left are equally li
 fixed after training, so every escape and exclusion is one number per context, and texts are scored in
 vectors: one table look-up for nearly every symbol. Contexts within a text start at its beginning.
 
-Counts are summed by Spark. A trie of more than ``MAX_NODES`` nodes of one order keeps those of the
-higher counts (a bound on the model, like its order, by a threshold on counts over all data).
+Counts are summed by Spark and all of them are used. The trie where the texts are holds, of each order,
+whole contexts of the highest counts with at most ``MAX_NODES`` nodes; a context that it holds has all its
+shorter ones there too, so it scores as in the trie of all counts. Occurrences in other contexts, which are
+rare by construction, meet their scores in a join on context and symbol; those scores come from joins
+with the tables of all counts, one order after the other.
 
 Base: exact counts of all words over all training documents. Words of the highest counts, at most
 ``MAX_COMMON`` of them, are looked up where the texts are; occurrences of other words meet their counts
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebatch
@@ -233,6 +236,7 @@ class Trie:
 @dataclass
 class Learnt:
     trie: Trie
+    whole: bool  # the trie holds all contexts
     common: Index
     common_log: np.ndarray
     end_log: float
@@ -240,46 +244,86 @@ class Learnt:
     types: int
 
 
-def _bounded(table: DataFrame, most: int) -> DataFrame:
-    """The rows of the higher counts, by a threshold that leaves ``most`` or fewer."""
-    bins = {r.b: r.n for r in table.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+def _bin(count: str) -> Column:
+    return F.floor(F.log2(count) * 4).cast("int")
+
+
+def _least(table: DataFrame, count: str, size: str, most: int) -> int:
+    """The least bin of counts from which on the rows have a sum of sizes of ``most`` or less; 0 for all rows."""
+    bins = {r.b: r.n for r in table.groupBy(_bin(count).alias("b")).agg(F.sum(F.expr(size)).alias("n")).collect()}
     total, least = 0, None
     for b in sorted(bins, reverse=True):
         if total + bins[b] > most:
-            break
+            return 10**6 if least is None else least
         total, least = total + bins[b], b
-    return table if len(bins) and least == min(bins) else table.filter(F.floor(F.log2("n") * 4) >= F.lit(least if least is not None else 10**6))
+    return 0
+
+
+def _contexts(entries: DataFrame) -> DataFrame:
+    """context, total, kinds of a table of keys and counts."""
+    return entries.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
 
 
 def learn(spark: SparkSession, ws: Workspace, docs: DataFrame, max_nodes: int = MAX_NODES, max_common: int = MAX_COMMON) -> tuple[Learnt, DataFrame]:
-    """The model, and the counts of the words that are not in it (key, n)."""
+    """The model, and the counts of all words (key, n)."""
+    model, words_, _ = _learn(ws, docs, max_nodes, max_common)
+    return model, words_
+
+
+def _learn(ws: Workspace, docs: DataFrame, max_nodes: int = MAX_NODES, max_common: int = MAX_COMMON) -> tuple[Learnt, DataFrame, list[DataFrame]]:
+    """The model, the counts of all words (key, n), and of each order the counts of all nodes (key, n)."""
     train = docs.filter(id_residue("doc_id", 7) != 2).select("text")
     counts = ws.save(train.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words_ = counts.filter("kind = 0").select("key", "n")
     sums = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
-    levels, nested = [], counts.filter("kind = 1").select("key", "n")
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            nested = nested.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-            nested = ws.save(nested, f"order-{k}")
-        got = _bounded(nested, max_nodes).toArrow()
+    tables = [counts.filter("kind = 1").select("key", "n")]
+    for k in range(ORDER - 1, -1, -1):
+        nested = tables[0].groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        tables.insert(0, ws.save(nested, f"order-{k}"))
+    levels, least = [], 0
+    for k, table in enumerate(tables):
+        # a shorter context counts as much as the longer one at least, so thresholds that only rise keep it
+        least = max(least, _least(_contexts(table), "total", "kinds", max_nodes))
+        if least:
+            held = _contexts(table).filter(_bin("total") >= F.lit(least))
+            table = table.withColumn("context", F.shiftright("key", BITS)).join(held, "context", "left_semi").select("key", "n")
+        got = table.toArrow()
         order = np.argsort(got.column("key").to_numpy(), kind="stable")
         levels.append((got.column("key").to_numpy()[order], got.column("n").to_numpy()[order]))
-    levels = _nested(levels[::-1])
-    n_docs = int(levels[0][1][levels[0][0] == END].sum())
-    common = _bounded(words_, max_common)
-    table = common.toArrow()
-    learnt = Learnt(Trie(levels), Index(table.column("key").to_numpy()), np.log10(table.column("n").to_numpy() + 1.0), float(np.log10(n_docs + 1.0)), int(sums.n) + n_docs, int(sums.types) + (n_docs > 0))
-    return learnt, words_
-
-
-def _nested(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keeps of each order what the order below has kept too."""
-    out = levels[:1]
-    for k in range(1, len(levels)):
-        keys, counts = levels[k]
-        held = np.isin(keys & ((1 << BITS * k) - 1), out[-1][0])
-        out.append((keys[held], counts[held]))
+    n_docs = tables[0].filter(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    table = words_.filter(_bin("n") >= F.lit(_least(words_, "n", "1", max_common))).toArrow()
+    learnt = Learnt(Trie(levels), least == 0, Index(table.column("key").to_numpy()), np.log10(table.column("n").to_numpy() + 1.0), float(np.log10(n_docs + 1.0)), int(sums.n) + n_docs, int(sums.types) + (n_docs > 0))
+    return learnt, words_, tables
+
+
+def _outside(ws: Workspace, keys: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """key, value: log10 of the probability of each different key's symbol in its context, by all counts.
+
+    gone_n and gone_kinds are what the longer context excludes here: 0 as long as none is known."""
+    state = keys.select("key", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("gone_n"), F.lit(0).cast("long").alias("gone_kinds"))
+    found = []
+    for k in range(ORDER, -1, -1):
+        entries, contexts = tables[k].select(F.col("key").alias("own"), "n"), _contexts(tables[k])
+        if k:
+            shorter = tables[k].select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("own"))
+            below = shorter.join(tables[k - 1].select(F.col("key").alias("own"), "n"), "own").groupBy("context").agg(F.sum("n").alias("below"))
+            contexts = contexts.join(below, "context")
+        else:
+            contexts = contexts.withColumn("below", F.lit(0).cast("long"))
+        if k < 2:  # at most 256 contexts and 65,536 entries, whatever the input
+            entries, contexts = F.broadcast(entries), F.broadcast(contexts)
+        rows = state.withColumn("own", F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))).withColumn("context", F.shiftright("own", BITS))
+        rows = rows.join(contexts, "context", "left").join(entries, "own", "left")
+        new = F.col("kinds") - F.col("gone_kinds")
+        every = F.col("total") - F.col("gone_n") + new
+        step = F.when(F.col("n").isNotNull(), F.log10("n") - F.log10(every)).when(new > 0, F.log10(new) - F.log10(every)).otherwise(0.0)
+        rows = rows.select("key", (F.col("value") + step).alias("value"), F.coalesce("below", F.lit(0)).alias("gone_n"), F.coalesce("kinds", F.lit(0)).alias("gone_kinds"), F.col("n").isNotNull().alias("hit"))
+        rows = ws.save(rows, f"outside-{k}")
+        found.append(rows.filter("hit").select("key", "value"))
+        state = rows.filter("not hit").drop("hit")
+    out = state.select("key", (F.col("value") - F.log10(F.greatest(F.lit(1), 256 - F.col("gone_kinds")))).alias("value"))
+    for part in found:
+        out = out.unionByName(part)
     return out
 
 
@@ -287,37 +331,44 @@ NAMES = ["doc_id", "held_out", "row", "kind", "key", "n", "known", "part", "scor
 
 
 def _scorer(shared):
-    """Rows of kind 0, one for each text, and of kind 1, one for each text and word that is not common."""
+    """Rows of kind 0, one for each text; of kind 1, one for each text and word that is not common; of kind 2,
+    one for each text and symbol with a context that is not in the trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Learnt = shared.value
         for batch in batches:
             rows, size = batch.column("row").to_numpy(), batch.num_rows
             score, tokens, known, part = np.zeros(size), np.ones(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
-            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            rare: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
             for piece in normalised(batch.column("text")):
-                score += np.bincount(piece.owner, weights=model.trie.log10(contexts(piece), piece.symbols.astype(np.int64)), minlength=size)
+                context, symbol, owner = contexts(piece), piece.symbols.astype(np.int64), piece.owner
+                if not model.whole:
+                    held = model.trie.contexts[ORDER].find(context) >= 0
+                    rare[1].append((owner[~held], context[~held] << BITS | symbol[~held]))
+                    context, symbol, owner = context[held], symbol[held], owner[held]
+                score += np.bincount(owner, weights=model.trie.log10(context, symbol), minlength=size)
                 key, of = piece.word_hashes.view(np.int64), piece.word_owner
                 tokens += np.bincount(of, minlength=size)
                 at = model.common.find(key)
                 hit = at >= 0
                 known += np.bincount(of[hit], minlength=size)
                 part += np.bincount(of[hit], weights=model.common_log[at[hit]], minlength=size)
-                if not hit.all():
-                    rare.append((of[~hit], key[~hit]))
+                rare[0].append((of[~hit], key[~hit]))
             if model.tokens:
                 known += 1
                 part += model.end_log
             blank = pa.nulls(size, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(rows), pa.array(np.zeros(size, np.int32)), blank, pa.array(tokens), pa.array(known), pa.array(part), pa.array(score)], names=NAMES)
-            if rare:
-                of, key = (np.concatenate([r[k] for r in rare]) for k in (0, 1))
+            for kind, parts in enumerate(rare, 1):
+                if not sum(len(p[0]) for p in parts):
+                    continue
+                of, key = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
                 order = np.lexsort((key, of))
                 of, key = of[order], key[order]
                 first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])]))
                 times, n = np.diff(np.append(first, len(of))), len(first)
                 none = [pa.nulls(n, t) for t in (batch.column("doc_id").type, pa.bool_(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*none[:2], pa.array(rows[of[first]]), pa.array(np.ones(n, np.int32)), pa.array(key[first]), pa.array(times), *none[2:]], names=NAMES)
+                yield pa.RecordBatch.from_arrays([*none[:2], pa.array(rows[of[first]]), pa.array(np.full(n, kind, np.int32)), pa.array(key[first]), pa.array(times), *none[2:]], names=NAMES)
 
     return run
 
@@ -335,7 +386,7 @@ def scores(spark: SparkSession, docs: DataFrame, **bounds: int) -> DataFrame:
 
 
 def _scores(spark: SparkSession, ws: Workspace, docs: DataFrame, bounds: dict[str, int]) -> DataFrame:
-    model, counts = learn(spark, ws, docs, **bounds)
+    model, counts, tables = _learn(ws, docs, **bounds)
     shared = spark.sparkContext.broadcast(model)  # bounded by MAX_NODES an order and MAX_COMMON
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (id_residue("doc_id", 7) == 2).alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
@@ -344,5 +395,11 @@ def _scores(spark: SparkSession, ws: Workspace, docs: DataFrame, bounds: dict[st
     rare = scored.filter("kind = 1").select("row", "key", F.col("n").alias("times")).join(counts, "key")
     rare = rare.groupBy("row").agg(F.sum("times").alias("r_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("r_part"))
     out = scored.filter("kind = 0").join(rare, "row", "left")
+    score = F.col("score")
+    if not model.whole:
+        outside = scored.filter("kind = 2").select("row", "key", F.col("n").alias("times"))
+        outside = outside.join(_outside(ws, outside.select("key").distinct(), tables), "key")
+        out = out.join(outside.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("outside")), "row", "left")
+        score += F.coalesce("outside", F.lit(0.0))
     base = F.col("part") + F.coalesce("r_part", F.lit(0.0)) - F.col("n") * F.lit(float(np.log10(model.tokens + model.types + 1.0)))
-    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

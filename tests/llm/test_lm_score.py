@@ -87,6 +87,17 @@ def test_against_brute_force(spark, monkeypatch, piece, bounds):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], abs=2e-6)
 
 
+@pytest.mark.parametrize("max_nodes", [5, 300])
+def test_contexts_outside_the_trie_score_by_all_counts(spark, max_nodes):
+    rows = corpus(7)
+    plain = Plain(brute_base(rows)[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in lm_score.scores(spark, df, max_nodes=max_nodes).collect())
+    want = sorted((d is None, d or 0, plain.text(t)) for d, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     texts = pa.array(["".join(chr(c) for c in rng.integers(97, 103, 300)) for _ in range(5)])
