@@ -1,11 +1,11 @@
-"""Near-duplicate classes by an LSH forest over MinHash signatures.
+"""Near-duplicate classes by LSH bands of MinHash signatures.
 
 Sketch: each text's distinct shingles of five words become 64-bit hashes; ``SIGNATURE`` salted minima
 form its signature. Texts with one shingle set collapse to their smallest id at once.
 
-Forest: ``TREES`` orders of the signature, tree t reading it from place 4t on. Within a tree the
-texts sort by that order and texts with a common prefix are neighbours; a region is a set of texts
-that share a prefix of ``DEPTH`` minima, whatever their number.
+Bands: ``TREES`` trees, tree t reading the ``DEPTH`` minima of the signature from place 4t on. These are
+hashed and grouped by their hash; signatures are not sorted and no longer prefixes are compared. A region
+is the set of texts that share the minima of one tree, whatever their number.
 
 Links are confirmed on full shingle sets, in rounds:
 
@@ -21,7 +21,7 @@ Links are confirmed on full shingle sets, in rounds:
    in slots, and every two slots of which one is of the others are resolved as one block.
 
 So any two texts that share a region are in one component or were compared. A pair at the threshold of
-0.75 shares no prefix of 4 in any of 32 trees with a chance of 5 in 1,000,000, which falls fast with
+0.75 shares the 4 minima of none of 32 trees with a chance of 5 in 1,000,000, which falls fast with
 likeness. Components are distributed large-star/small-star rounds.
 
 Defined cases: words are what lies between white space after lower-casing A-Z; fewer than five words
@@ -139,7 +139,7 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def regions(ws: Workspace, reps: DataFrame) -> DataFrame:
-    """id, region, first, compare: the regions of the forest and the first text of each. Regions of more
+    """id, region, first, compare: the regions of all trees and the first text of each. Regions of more
     than REGION texts (compare is false) are resolved by ``blocks``; their texts stand again in slots that
     they were dealt into, as their own first."""
     kind = dict(reps.dtypes)["id"]
