@@ -7,6 +7,7 @@ without both kinds of entries or an error.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -33,11 +34,8 @@ def startup_rules(config: Config, folder: str | None):
 
 def scan(spark: SparkSession, args) -> int:
     results = files.scan_paths(spark, args.paths or ["."], _rules(args.rules)).cache()
-    if args.json:
-        print(files.print_json(results))
-    else:
-        for line in files.print_text(results):
-            print(line)
+    for line in files.print_json(results) if args.json else files.print_text(results):
+        print(line)
     return int(not files.dirty(results).isEmpty())
 
 
@@ -45,7 +43,7 @@ def run_eval(spark: SparkSession, args) -> int:
     rules = _rules(args.rules)
     corpus = evaluation.load_corpus(spark, args.corpus)
     scored = evaluation.evaluate_corpus(corpus, rules).cache()
-    print("\n".join(evaluation.report(scored)))
+    print("\n".join(evaluation.report(scored, note=args.command == "render")))
     if args.command == "render":
         return 0
     missing = [r["class"] for r in evaluation.uncovered(spark, rules, corpus).collect()]
@@ -59,12 +57,22 @@ def run_eval(spark: SparkSession, args) -> int:
 
 
 def serve(spark: SparkSession, args) -> int:
-    """Reads crossings as Parquet, writes their results and appends their evidence."""
+    """Reads crossings as Parquet and writes their results, then the evidence of what was written.
+
+    A run is named after its input unless it is given a name, and writes in place of an earlier attempt of
+    the same name, so a run that failed midway is repeated without loss or doubles. Evidence goes to
+    --ledger, else to the policy's logger.output; stdout prints it."""
     config = load_config(args.config)
-    results = crossings.process(spark.read.parquet(args.crossings), config, startup_rules(config, args.rules))
-    results = crossings.drop_responses_of_blocked(results)
-    results.write.mode("append").parquet(args.out)
-    files.append_ledger(crossings.evidence(results), args.ledger or f"{args.out.rstrip('/')}-ledger")
+    run = args.run_name or hashlib.sha256(args.crossings.encode()).hexdigest()[:12]
+    path = f"{args.out.rstrip('/')}/run={run}"
+    crossings.serve(spark.read.parquet(args.crossings), config, startup_rules(config, args.rules)).write.mode("overwrite").parquet(path)
+    entries = crossings.evidence(spark.read.parquet(path))
+    target = args.ledger or config.output
+    if target == "stdout":
+        for r in files.ledger_lines(entries).toLocalIterator():
+            print(r.value)
+    else:
+        files.put_ledger(entries, target, run)
     return 0
 
 
@@ -89,6 +97,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--crossings", required=True)
     v.add_argument("--out", required=True)
     v.add_argument("--ledger")
+    v.add_argument("--run-name")
     v.set_defaults(run=serve)
     return top
 

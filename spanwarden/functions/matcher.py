@@ -1,4 +1,8 @@
-"""The detector over bytes: for payload extraction and for streams, where values pass through Python.
+"""The detector over bytes: of single texts, of Arrow columns of texts, and of streams.
+
+A column's bytes are one buffer, in which the anchors of all rules are found in one pass of vector
+operations; only a window of bounded length is looked at around each anchor that can hold a finding. So
+the work grows in proportion to the bytes and the anchors, however long a text is.
 
 A stream scan holds the same state as a whole-text scan would have at that byte, so findings of chunks
 and of the whole agree for any division into chunks.
@@ -7,10 +11,13 @@ and of the whole agree for any division into chunks.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+
 from ..rules import Rule, RuleSet, anchor, python_pattern
 from .validators import bytes_hold
 
@@ -32,7 +39,7 @@ class Matcher:
         self.anchors = [re.compile(anchor(r).encode()) for r in self.rules]
         self.groups = [r.group for r in self.rules]
         self.longest = {k: RuleSet(self.rules).longest(k) for k in ("digit", "iban")}
-        self.keywords = sorted({k.lower().encode() for r in self.rules if r.kind == "literal" for k in r.keywords if k})
+        self.keywords = sorted({k.encode().lower() for r in self.rules if r.kind == "literal" for k in r.keywords if k})
 
     def confirm(self, k: int, text: bytes, start: int, base: int = 0) -> Finding | None:
         """What rule k finds in the window that opens at ``start``; text begins at offset ``base``."""
@@ -58,6 +65,211 @@ class Matcher:
         return sorted(found.values())
 
 
+#: Bytes of a column that the vector operations see at once.
+SEGMENT = 1 << 22
+#: Keywords beyond which one automaton finds them all.
+MANY_KEYWORDS = 24
+
+DIGIT = np.zeros(256, bool)
+DIGIT[48:58] = True
+UPPER = np.zeros(256, bool)
+UPPER[65:91] = True
+ALNUM = DIGIT | UPPER
+ALNUM[97:123] = True
+
+
+def digits_needed(pattern: re.Pattern) -> int:
+    """How many digits every match holds at least."""
+    try:
+        from re import _constants as c
+        from re import _parser
+    except ImportError:
+        return 0
+
+    def of_class(items) -> bool:
+        return all((op is c.CATEGORY and v is c.CATEGORY_DIGIT) or (op is c.RANGE and 48 <= v[0] <= v[1] <= 57) or (op is c.LITERAL and 48 <= v <= 57) for op, v in items)
+
+    def of(items) -> int:
+        total = 0
+        for op, v in items:
+            if op is c.LITERAL:
+                total += 48 <= v <= 57
+            elif op is c.IN:
+                total += of_class(v)
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+                total += v[0] * of(v[2])
+            elif op is c.SUBPATTERN:
+                total += of(v[3])
+            elif op is c.BRANCH:
+                total += min(of(x) for x in v[1])
+        return total
+
+    return of(_parser.parse(pattern.pattern, pattern.flags & ~re.DEBUG))
+
+
+class ColumnMatcher:
+    """Findings of whole Arrow columns, equal to those of ``Matcher.find`` for each text."""
+
+    def __init__(self, rules: Sequence[Rule], segment: int = SEGMENT):
+        self.matcher, self.segment = Matcher(rules), segment
+        self.rules = self.matcher.rules
+        self.needed = [digits_needed(p) for p in self.matcher.patterns]
+        self.of_keyword: dict[bytes, list[int]] = {}
+        for k, rule in enumerate(self.rules):
+            for word in {w.encode().lower() for w in rule.keywords if w} if rule.kind == "literal" else ():
+                self.of_keyword.setdefault(word, []).append(k)
+        self.margin = max([1, *(r.max_match_len for r in self.rules), *map(len, self.of_keyword)]) + 1
+        self.automaton = _automaton(self.of_keyword) if len(self.of_keyword) > MANY_KEYWORDS else None
+
+    def _keyword_places(self, low: bytes) -> dict[bytes, np.ndarray]:
+        if self.automaton is not None:
+            found: dict[bytes, list[int]] = {}
+            for last, words in self.automaton.iter(low.decode("latin-1")):
+                for w in words:
+                    found.setdefault(w, []).append(last + 1 - len(w))
+            return {w: np.array(at) for w, at in found.items()}
+        out = {}
+        for word in self.of_keyword:
+            at, places = low.find(word), []
+            while at >= 0:
+                places.append(at)
+                at = low.find(word, at + 1)
+            if places:
+                out[word] = np.array(places)
+        return out
+
+    def _anchors(self, view: bytes, starts: np.ndarray, stops: np.ndarray, own: tuple[int, int], every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(rule, anchors within ``own``, the text of each) in a view that holds texts from starts to stops;
+        without ``every`` those alone whose window holds as many digits as the rule needs."""
+        raw = np.frombuffer(view, np.uint8)
+        fresh = np.zeros(len(raw) + 1, bool)  # the first byte of a text has nothing before it
+        fresh[starts[starts >= 0]] = True
+
+        def text_of(at: np.ndarray) -> np.ndarray:
+            return np.searchsorted(starts, at, side="right") - 1
+
+        def inside(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+            at = at[(at >= own[0]) & (at < own[1])]
+            text = text_of(at)
+            whole = at + size <= stops[text]
+            return at[whole], text[whole]
+
+        kinds = {r.kind for r in self.rules}
+        digit = DIGIT[raw]
+        counted = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(digit, out=counted[1:])
+        if "digit" in kinds and counted[-1]:
+            begin = digit.copy()
+            begin[1:] &= ~digit[:-1] | fresh[1:-1]
+            digit_at, digit_text = inside(np.flatnonzero(begin), 1)
+        else:
+            digit_at = digit_text = np.zeros(0, np.int64)
+        iban_at = iban_text = np.zeros(0, np.int64)
+        if "iban" in kinds and len(raw) >= 4:
+            upper = UPPER[raw]
+            begin = upper[:-3] & upper[1:-2] & digit[2:-1] & digit[3:]
+            begin[1:] &= ~ALNUM[raw[: len(raw) - 4]] | fresh[1 : len(raw) - 3]
+            iban_at, iban_text = inside(np.flatnonzero(begin), 4)
+        places = self._keyword_places(view.lower()) if self.of_keyword else {}
+        literal: dict[int, list[np.ndarray]] = {}
+        for word, at in places.items():
+            for k in self.of_keyword[word]:
+                literal.setdefault(k, []).append(inside(at, len(word))[0])
+        for k, rule in enumerate(self.rules):
+            if rule.kind == "literal":
+                if k not in literal:
+                    continue
+                at = np.unique(np.concatenate(literal[k]))
+                text = text_of(at)
+            else:
+                at, text = (digit_at, digit_text) if rule.kind == "digit" else (iban_at, iban_text)
+            if self.needed[k] and len(at) and not every:
+                enough = counted[np.minimum(at + rule.max_match_len + 1, stops[text])] - counted[at] >= self.needed[k]
+                at, text = at[enough], text[enough]
+            if len(at):
+                yield k, at, text
+
+    def places(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end, rule) of every finding, by text, start, end and rule id, each once."""
+        data, at = _bytes_of(column)
+        found: dict[tuple[int, int, int, str], int] = {}
+        for lo in range(int(at[0]), int(at[-1]), self.segment):
+            hi = min(lo + self.segment, int(at[-1]))
+            base, top = max(lo - 1, int(at[0])), min(hi + self.margin, int(at[-1]))
+            first = int(np.searchsorted(at, base, side="right")) - 1
+            last = int(np.searchsorted(at, top, side="left"))
+            view = bytes(data[base:top])
+            starts, stops = at[first:last] - base, at[first + 1 : last + 1] - base
+            for k, anchors, texts in self._anchors(view, starts, stops, (lo - base, hi - base)):
+                rule, search, group = self.rules[k], self.matcher.patterns[k].search, self.matcher.groups[k]
+                lows = np.maximum(anchors - 1, starts[texts])
+                ends = np.minimum(anchors + rule.max_match_len + 1, stops[texts])
+                for anchor_, low, end, text in zip(anchors.tolist(), lows.tolist(), ends.tolist(), texts.tolist(), strict=True):
+                    m = search(view[low:end])
+                    if m is None or low + m.start() < anchor_:
+                        continue
+                    g = group if group and m.start(group) >= 0 else 0
+                    if bytes_hold(rule.validators, m.group(g)):
+                        shift = low - int(starts[text])
+                        found[first + text, shift + m.start(g), shift + m.end(g), rule.id] = k
+        rows = sorted(found)
+        columns = np.array([r[:3] for r in rows], np.int64).reshape(-1, 3)
+        return columns[:, 0], columns[:, 1], columns[:, 2], np.array([found[r] for r in rows], np.int64)
+
+    def findings(self, column: pa.Array, kind: pa.DataType) -> pa.Array:
+        """A list of findings for each text, of the Arrow type ``kind``; null texts have none."""
+        text, start, end, rule = self.places(column)
+        offsets = np.searchsorted(text, np.arange(len(column) + 1)).astype(np.int32)
+        ids = pa.array([r.id for r in self.rules], pa.string())
+        classes = pa.array([r.class_ for r in self.rules], pa.string())
+        sure = pa.array([r.confidence for r in self.rules], pa.float64())
+        rows = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), ids.take(pa.array(rule)), classes.take(pa.array(rule)), sure.take(pa.array(rule))], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(offsets), rows, type=kind)
+
+    def anchor_lists(self, column: pa.Array) -> pa.Array:
+        """The offsets at which windows of the rules open, for each text."""
+        data, at = _bytes_of(column)
+        found = []
+        for lo in range(int(at[0]), int(at[-1]), self.segment):
+            hi = min(lo + self.segment, int(at[-1]))
+            base, top = max(lo - 1, int(at[0])), min(hi + self.margin, int(at[-1]))
+            first, last = int(np.searchsorted(at, base, side="right")) - 1, int(np.searchsorted(at, top, side="left"))
+            starts, stops = at[first:last] - base, at[first + 1 : last + 1] - base
+            found += [np.stack([first + text, places - starts[text]], axis=1) for _, places, text in self._anchors(bytes(data[base:top]), starts, stops, (lo - base, hi - base), every=True)]
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        offsets = np.searchsorted(rows[:, 0], np.arange(len(column) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[:, 1], pa.int32()))
+
+
+def _automaton(keywords: dict[bytes, list[int]]):
+    """One automaton of all keywords, or none where that library is absent."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    made = ahocorasick.Automaton()
+    texts = {w: w.decode("latin-1") for w in keywords}
+    for w, text in texts.items():
+        # a keyword reports those that end within it by itself
+        made.add_word(text, [w])
+    made.make_automaton()
+    return made
+
+
+def _bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a text or binary column and the n + 1 places where its texts begin and end."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return memoryview(b""), np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return memoryview(data) if data is not None else memoryview(b""), at
+
+
 @dataclass
 class StreamScan:
     """Findings of a text that comes in chunks, and how many of its last bytes to hold back.
@@ -72,9 +284,14 @@ class StreamScan:
     end: int = 0
     base: int = 0
     tail: bytes = b""
-    open_: list[tuple[int, int]] = field(default_factory=list)
+    open_: dict[tuple[int, int], None] = field(default_factory=dict)  # (rule, start), in order of opening
     seen: set[tuple[str, int, int]] = field(default_factory=set)
 
+    @property
+    def reach(self) -> int:
+        """Bytes before the end of what came in which a window may still open."""
+        return max([4, *(len(w) for w in self.matcher.keywords)])
+
     def feed(self, chunk: bytes) -> tuple[list[Finding], int]:
         if not chunk:
             return [], self.hold()
@@ -89,8 +306,8 @@ class StreamScan:
                 else:
                     low = self.tail[a.start() : a.start() + reach].lower()
                     new = any(low.startswith(w.lower().encode()) and at + len(w) > before for w in rule.keywords if w)
-                if new and (k, at) not in self.open_:
-                    self.open_.append((k, at))
+                if new:
+                    self.open_[k, at] = None
         found = self._drain(False)
         keep = min([s for _, s in self.open_] + [self.end - max([3, *(len(w) for w in self.matcher.keywords)])]) - 1
         if keep > self.base:
@@ -102,18 +319,21 @@ class StreamScan:
         return self._drain(True)
 
     def _drain(self, last: bool) -> list[Finding]:
-        found, still = [], []
+        found, still = [], {}
         for k, start in self.open_:
             rule = self.matcher.rules[k]
             span = self.matcher.longest.get(rule.kind, rule.max_match_len)
             if not last and start + span + 1 > self.end:
-                still.append((k, start))
+                still[k, start] = None
                 continue
             f = self.matcher.confirm(k, self.tail, start, self.base)
             if f and (f.rule_id, f.start, f.end) not in self.seen:
                 self.seen.add((f.rule_id, f.start, f.end))
                 found.append(f)
         self.open_ = still
+        # what begins before every window that may still open can't be found again
+        least = min([s for _, s in still] + [self.end - self.reach])
+        self.seen = {x for x in self.seen if x[2] >= least}
         return sorted(found)
 
     def hold(self) -> int:

@@ -14,20 +14,45 @@ from dataclasses import dataclass, field
 CHAT, RESPONSES, MESSAGES = "openai_chat_completions", "openai_responses", "anthropic_messages"
 
 # The fields that each level of each format knows.
-CHAT_TOP = frozenset("audio frequency_penalty function_call functions logit_bias logprobs max_completion_tokens max_tokens metadata modalities model n parallel_tool_calls prediction presence_penalty reasoning_effort response_format seed service_tier stop store stream stream_options temperature tool_choice tools top_logprobs top_p user verbosity web_search_options messages".split())
-CHAT_MESSAGE = frozenset("annotations audio content function_call id name refusal role tool_call_id tool_calls".split())
-CONTENT_PART = frozenset("annotations detail image_file image_url input_audio input_file input_image input_text output_text refusal source text type".split())
-TOOL_CALL = frozenset("function id index output type".split())
-FUNCTION_CALL = frozenset("arguments name".split())
-CHAT_TOOL = frozenset("function type".split())
-FUNCTION = frozenset("description name parameters strict".split())
-RESPONSES_TOP = frozenset("background include input instructions max_output_tokens metadata model output parallel_tool_calls previous_response_id prompt reasoning safety_identifier service_tier store stream stream_options temperature text tool_choice tools top_p truncation user".split())
-RESPONSE_ITEM = frozenset("action arguments call_id code container_id content encrypted_content id name output queries results role server_label status summary type tools".split())
-RESPONSE_TOOL = frozenset("allowed_tools container description filters name parameters server_label strict type vector_store_ids".split())
-MESSAGES_TOP = frozenset("container context_management max_tokens mcp_servers messages metadata model service_tier stop_sequences stream system temperature thinking tool_choice tools top_k top_p".split())
-MESSAGE = frozenset("content role".split())
-BLOCK = frozenset("cache_control citations content context data id input is_error media_type mime_type name signature source text thinking title tool_use_id type".split())
-TOOL = frozenset("cache_control description input_schema name type".split())
+CHAT_TOP = frozenset({
+    "audio", "frequency_penalty", "function_call", "functions", "logit_bias", "logprobs", "max_completion_tokens", "max_tokens", "metadata",
+    "modalities", "model", "n", "parallel_tool_calls", "prediction", "presence_penalty", "reasoning_effort", "response_format", "seed",
+    "service_tier", "stop", "store", "stream", "stream_options", "temperature", "tool_choice", "tools", "top_logprobs", "top_p", "user", "verbosity",
+    "web_search_options", "messages",
+})
+CHAT_MESSAGE = frozenset({
+    "annotations", "audio", "content", "function_call", "id", "name", "refusal", "role", "tool_call_id", "tool_calls",
+})
+CONTENT_PART = frozenset({
+    "annotations", "detail", "image_file", "image_url", "input_audio", "input_file", "input_image", "input_text", "output_text", "refusal", "source",
+    "text", "type",
+})
+TOOL_CALL = frozenset({"function", "id", "index", "output", "type"})
+FUNCTION_CALL = frozenset({"arguments", "name"})
+CHAT_TOOL = frozenset({"function", "type"})
+FUNCTION = frozenset({"description", "name", "parameters", "strict"})
+RESPONSES_TOP = frozenset({
+    "background", "include", "input", "instructions", "max_output_tokens", "metadata", "model", "output", "parallel_tool_calls",
+    "previous_response_id", "prompt", "reasoning", "safety_identifier", "service_tier", "store", "stream", "stream_options", "temperature", "text",
+    "tool_choice", "tools", "top_p", "truncation", "user",
+})
+RESPONSE_ITEM = frozenset({
+    "action", "arguments", "call_id", "code", "container_id", "content", "encrypted_content", "id", "name", "output", "queries", "results", "role",
+    "server_label", "status", "summary", "type", "tools",
+})
+RESPONSE_TOOL = frozenset({
+    "allowed_tools", "container", "description", "filters", "name", "parameters", "server_label", "strict", "type", "vector_store_ids",
+})
+MESSAGES_TOP = frozenset({
+    "container", "context_management", "max_tokens", "mcp_servers", "messages", "metadata", "model", "service_tier", "stop_sequences", "stream",
+    "system", "temperature", "thinking", "tool_choice", "tools", "top_k", "top_p",
+})
+MESSAGE = frozenset({"content", "role"})
+BLOCK = frozenset({
+    "cache_control", "citations", "content", "context", "data", "id", "input", "is_error", "media_type", "mime_type", "name", "signature", "source",
+    "text", "thinking", "title", "tool_use_id", "type",
+})
+TOOL = frozenset({"cache_control", "description", "input_schema", "name", "type"})
 
 
 class PayloadError(ValueError):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,37 +42,36 @@ def summary(found: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["class"].alias("class"), n(p).alias("count"), p["action"].alias("action")))
 
 
-def merged_spans(spans: Column) -> Column:
-    """Sorted spans (start, end) with those that overlap or touch made one."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-    return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int>>"), step)
-
-
 def mask_spans(found: Column) -> Column:
-    return merged_spans(F.filter(found, lambda f: ~f["exempted"] & (f["action"] == "mask")))
+    """Spans (start, end) of the findings to mask; they may overlap."""
+    return F.transform(F.filter(found, lambda f: ~f["exempted"] & (f["action"] == "mask")), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
 
 
-def masked(chars: Column, spans: Column) -> Column:
-    """Text of one character a byte with every byte of the merged spans as a star; no length changes."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def masked(body: Column, spans: Column) -> Column:
+    """A binary column with every byte of the spans as a star; no length changes, null stays null. The
+    work is that of copying the body once, whatever the number of spans."""
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substr(chars, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        stars = F.repeat(F.lit("*"), F.least(s["end"], F.length(chars)) - F.least(s["start"], F.length(chars)))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], between, stars).alias("out"))
+    @F.arrow_udf("binary")
+    def run(bodies: pa.Array, marked: pa.Array) -> pa.Array:
+        out = []
+        for body, of in zip(bodies, marked, strict=True):
+            if not body.is_valid:
+                out.append(None)
+                continue
+            stars = bytearray(body.as_buffer().to_pybytes())
+            for lo, hi in zip(of.values.field("start").to_pylist(), of.values.field("end").to_pylist(), strict=True) if of.is_valid else ():
+                lo, hi = min(max(lo, 0), len(stars)), min(hi, len(stars))
+                if lo < hi:
+                    stars[lo:hi] = b"*" * (hi - lo)
+            out.append(bytes(stars))
+        return pa.array(out, pa.binary())
 
-    done = F.aggregate(spans, begin, step)
-    return F.concat(done["out"], F.substr(chars, done["at"] + 1, F.greatest(F.length(chars) - done["at"], F.lit(0))))
+    return run.asNondeterministic()(body, spans)
 
 
 def span_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The same merge for rows (keys, start, end_): gaps and islands over windows of the keys."""
+    """Rows (keys, start, end_) with those that overlap or touch made one: gaps and islands over windows
+    of the keys."""
     order = Window.partitionBy(*keys).orderBy("start", "end_")
     reach = F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
@@ -106,10 +106,10 @@ def act(df: DataFrame, config: Config, *, body: str = "body", dest: str = "dest"
     """Adds verdict, summary, forwarded_body (null when blocked) and block_body to crossings."""
     df = df.withColumn("__found", decided(config, F.col(findings), F.col(dest)))
     df = df.withColumn("verdict", verdict(F.col("__found"))).withColumn("summary", summary(F.col("__found"))).withColumn("__block", first_block(F.col("__found"))).withColumn("__spans", mask_spans(F.col("__found")))
-    chars = F.decode(F.col(body), "ISO-8859-1")
-    forwarded = F.when(F.col("verdict") == "masked", F.encode(masked(chars, F.col("__spans")), "ISO-8859-1")).when(F.col("verdict") != "blocked", F.col(body))
-    out = df.withColumn("forwarded_body", forwarded).withColumn("block_body", block_body(F.col(path), F.col(direction), F.col("__block"), F.col(req)))
-    return out.drop("__found", "__block", "__spans")
+    to_mask = F.when(F.col("verdict") == "masked", F.col(body))  # only these bodies go to the masking pass
+    df = df.withColumn("__masked", masked(to_mask, F.col("__spans")))
+    out = df.withColumn("forwarded_body", F.when(F.col("verdict") == "masked", F.col("__masked")).when(F.col("verdict") != "blocked", F.col(body))).withColumn("block_body", block_body(F.col(path), F.col(direction), F.col("__block"), F.col(req)))
+    return out.drop("__found", "__block", "__spans", "__masked")
 
 
 LEDGER_FIELDS = ("schema_version", "ts", "req_id", "direction", "caller", "dest", "model", "findings", "unscanned_fields", "verdict", "body_sha256", "policy_rev")
@@ -122,6 +122,8 @@ def ledger_entries(crossings: DataFrame) -> DataFrame:
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") if "ts" in has and dict(crossings.dtypes)["ts"].startswith("timestamp") else F.col("ts") if "ts" in has else F.lit(None).cast("string")
     unscanned = F.when(F.size("unscanned_fields") > 0, F.col("unscanned_fields")) if "unscanned_fields" in has else F.lit(None).cast("array<string>")
     sha = F.sha2(F.col("body"), 256) if "body" in has else F.lit("")
+    if "streamed" in has:  # a stream is gone before it is whole
+        sha = F.when(F.col("streamed"), "").otherwise(sha)
     return crossings.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), ts.alias("ts"), F.col("req_id"), F.col("direction"), text("caller").alias("caller"), F.col("dest"), text("model").alias("model"),
         F.coalesce("summary", F.array().cast("array<struct<class:string,count:int,action:string>>")).alias("findings"), unscanned.alias("unscanned_fields"), F.col("verdict"), sha.alias("body_sha256"), text("policy_rev").alias("policy_rev"),

@@ -8,6 +8,7 @@ an error row, never a failed job.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 from ..functions.matcher import Matcher
 from ..functions.payload import PayloadError, detect_format, extract
 from ..rules import SHIPPED, Rule
+from ..streaming.sse import is_event_stream
 from .actions import act, ledger_entries
 from .detect import FINDINGS, detect
-from .policy import Config
+from .policy import Config, route
 
 UNIT = "struct<path:string,kind:string,text:string,raw_start:int,raw_end:int,raw_content_start:int,raw_content_end:int,byte_ranges:array<struct<start:int,end:int>>>"
 EXTRACTED = f"struct<format:string,units:array<{UNIT}>,unscanned_fields:array<string>,error:string>"
@@ -110,6 +112,79 @@ def process(crossings: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPE
     return done.withColumn("verdict", F.when(failed, "error").otherwise(F.col("verdict"))).withColumn("forwarded_body", F.when(~failed, F.col("forwarded_body"))).withColumn("block_body", F.when(~failed, F.col("block_body")))
 
 
+def host_of(upstreams: dict[str, str], name: Column) -> Column:
+    """The host of a named upstream: the destination that policies and evidence see."""
+    hosts = [(k, urlsplit(v).netloc or v) for k, v in upstreams.items()]
+    return F.coalesce(*(F.when(name == k, F.lit(h)) for k, h in hosts), F.lit(None).cast("string"))
+
+
+def routed(crossings: DataFrame, config: Config) -> DataFrame:
+    """Requests with model (of the body), dest (host of the upstream) and path (at the upstream) filled in, and
+    the error ``unknown_upstream`` where no route is found; responses take those of their request. Rows that
+    name a destination have been routed already and stay as they are."""
+    for name in ("dest", "model"):
+        if name not in crossings.columns:
+            crossings = crossings.withColumn(name, F.lit(None).cast("string"))
+    open_ = F.col("dest").isNull() | (F.col("dest") == "")
+    requests = crossings.filter("direction = 'request'")
+    model = F.when(F.coalesce("model", F.lit("")) != "", F.col("model")).otherwise(extract_model(F.col("body")))
+    asked = route(requests.withColumn("model", model), config.upstreams)
+    lost = open_ & F.col("upstream").isNull()
+    asked = asked.withColumn("route_error", F.when(lost, F.concat(F.lit("unknown_upstream: no route for path="), F.coalesce("path", F.lit("")))))
+    asked = asked.withColumn("path", F.when(open_ & ~lost, F.col("upstream_path")).otherwise(F.col("path"))).withColumn("dest", F.when(open_, F.coalesce(host_of(config.upstreams, F.col("upstream")), F.lit(""))).otherwise(F.col("dest")))
+    asked = asked.drop("upstream", "upstream_path")
+    of = asked.select("req_id", F.col("dest").alias("q_dest"), F.col("model").alias("q_model"), F.col("path").alias("q_path")).dropDuplicates(["req_id"])
+    answers = crossings.filter("direction = 'response'").join(of, "req_id", "left")
+    answers = answers.withColumn("path", F.when(open_, F.coalesce("q_path", "path")).otherwise(F.col("path"))).withColumn("model", F.coalesce(F.when(F.col("model") != "", F.col("model")), "q_model", F.lit(""))).withColumn("dest", F.when(open_, F.coalesce("q_dest", F.lit(""))).otherwise(F.col("dest")))
+    return asked.unionByName(answers.withColumn("route_error", F.lit(None).cast("string")).select(*asked.columns))
+
+
+def scan_streams(responses: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED) -> DataFrame:
+    """Responses that are event streams, through the stream guard: what goes out, whole, is forwarded_body
+    (the events before a block and the block event where one blocks)."""
+    from ..streaming import guard, sse
+
+    text = responses.select(F.col("req_id").alias("stream_id"), "path", "dest", "model", F.decode("body", "ISO-8859-1").alias("raw"))
+    frames = sse.frames(text, "raw")
+    frames = frames.select("stream_id", F.col("seq").cast("long").alias("seq"), "path", "dest", "model", F.encode("frame", "ISO-8859-1").alias("frame"), F.lit(False).alias("last"))
+    out = guard.guard_batch(frames, config, rules)
+    evidence_ = F.from_json(F.max("ledger"), "findings array<struct<class:string,count:int,action:string>>, verdict string, unscanned_fields array<string>")
+    sent = F.array_sort(F.collect_list(F.when(F.col("payload").isNotNull(), F.struct("out_seq", F.decode("payload", "ISO-8859-1").alias("p")))))
+    whole = out.groupBy(F.col("stream_id").alias("req_id")).agg(evidence_.alias("e"), F.encode(F.array_join(F.transform(sent, lambda x: x["p"]), ""), "ISO-8859-1").alias("forwarded_body"))
+    none, no_summary = F.array().cast("array<string>"), F.array().cast("array<struct<class:string,count:int,action:string>>")
+    joined = responses.join(whole, "req_id", "left")
+    joined = joined.withColumn("findings", F.array().cast(FINDINGS)).withColumn("unscanned_fields", F.coalesce("e.unscanned_fields", none)).withColumn("error", F.lit(None).cast("string"))
+    joined = joined.withColumn("verdict", F.coalesce("e.verdict", F.lit("forwarded"))).withColumn("summary", F.coalesce("e.findings", no_summary))
+    return joined.withColumn("forwarded_body", F.coalesce("forwarded_body", "body")).withColumn("block_body", F.lit(None).cast("string")).drop("e")
+
+
+def serve(crossings: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED, lenient: bool = False) -> DataFrame:
+    """Crossings as a gateway treats them: routed, scanned and decided, responses that are event streams through
+    the stream guard. Adds ``streamed``; rows that no route takes have the verdict error. Responses of
+    requests that were blocked or failed are left out."""
+    rows = routed(crossings, config)
+    kind = F.col("content_type") if "content_type" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("streamed", (F.col("direction") == "response") & F.coalesce(is_event_stream(kind), F.lit(False)))
+    plain = process(rows.filter("not streamed"), config, rules, lenient)
+    lost = F.col("route_error").isNotNull()
+    plain = plain.withColumn("error", F.coalesce("route_error", "error")).withColumn("verdict", F.when(lost, "error").otherwise(F.col("verdict")))
+    empty = F.array().cast("array<struct<class:string,count:int,action:string>>")
+    plain = plain.withColumn("forwarded_body", F.when(~lost, F.col("forwarded_body"))).withColumn("block_body", F.when(~lost, F.col("block_body"))).withColumn("summary", F.when(lost, empty).otherwise(F.col("summary")))
+    streams = scan_streams(rows.filter("streamed"), config, rules)
+    return drop_responses_of_blocked(plain.unionByName(streams).drop("route_error"))
+
+
+# Header names that hold for one hop alone.
+HOP_BY_HOP = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
+
+
+def end_to_end(headers: Column) -> Column:
+    """Headers (map of name to values) without those of one hop and those that Connection names."""
+    of_connection = F.flatten(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == "connection")))
+    named = F.transform(F.flatten(F.transform(of_connection, lambda v: F.split(v, ","))), lambda x: F.lower(F.trim(x)))
+    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*HOP_BY_HOP) & ~F.array_contains(named, F.lower(k)))
+
+
 def drop_responses_of_blocked(results: DataFrame) -> DataFrame:
     """A blocked or failed request never reaches its upstream, so it has no response row."""
     stopped = results.filter("direction = 'request' and verdict in ('blocked', 'error')").select("req_id").distinct()
@@ -123,7 +198,7 @@ def evidence(results: DataFrame) -> DataFrame:
 
 def extract_model(body: Column) -> Column:
     """The model field of a JSON body, or the empty text."""
-    text = F.decode(body, "UTF-8") if not isinstance(body, str) else F.decode(F.col(body), "UTF-8")
+    text = F.make_valid_utf8((F.col(body) if isinstance(body, str) else body).cast("string"))
     typed = F.try_variant_get(F.try_parse_json(text), "$.model", "string")
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.model", "variant"))
     return F.when(kind == "STRING", typed).otherwise(F.lit(""))

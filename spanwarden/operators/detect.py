@@ -1,104 +1,60 @@
-"""Detection with built-in expressions: candidates, bounded windows, confirmation, validation.
+"""Detection: an Arrow pass over a text column that adds each row's findings as an array.
 
-Everything about a row stays in the row: findings are an array column, so detection has no shuffle
-whatever the number of findings. A cheap whole-text pattern gates the work of each rule.
+Findings stay in their row, so detection has no shuffle whatever their number. The column goes to the
+matcher as Arrow buffers and each batch is scanned once (``functions.matcher.ColumnMatcher``). The pass is
+marked as not deterministic: else the optimiser would repeat it in the filters that it infers from
+``explode`` and from conditions on findings. So filters on other columns belong before ``detect``.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.matcher import Matcher
-from ..functions.validators import all_hold
-from ..rules import SHIPPED, Rule, anchor, gate, java_pattern, with_prefix_group
+from ..functions.matcher import ColumnMatcher
+from ..rules import SHIPPED, Rule
 
 FINDING = "struct<start:int,end:int,rule_id:string,class:string,confidence:double>"
 FINDINGS = f"array<{FINDING}>"
 
+ARROW_FINDINGS = pa.list_(
+    pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("rule_id", pa.string()), pa.field("class", pa.string()), pa.field("confidence", pa.float64())])
+)
+
 
 def byte_chars(column: Column, binary: bool = False) -> Column:
     """One character a byte, so that offsets of characters are offsets of bytes."""
     return F.decode(column if binary else F.encode(column, "UTF-8"), "ISO-8859-1")
 
 
-def is_native(rule: Rule) -> bool:
-    """Whether built-in expressions can place the rule's value."""
-    return rule.group == 0 or with_prefix_group(rule.pattern, rule.group) is not None
-
-
-def candidates(chars: Column, rule: Rule) -> Column:
-    """Offsets where the rule's windows open: lengths of what lies between anchors, summed up."""
-    parts = F.split(chars, anchor(rule))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    placed = F.aggregate(parts, begin, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
-    # the first part begins with an anchor only if the text does
-    return F.when(chars.rlike(f"^{anchor(rule)}"), placed).otherwise(F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))))
-
-
-def may_hold(rule: Rule, low: Column, digit: Column) -> Column:
-    """A cheap condition that every text with a finding meets: one of the rule's keywords in the
-    lower-cased text, or a digit."""
-    if rule.kind != "literal":
-        return digit
-    return functools.reduce(lambda a, b: a | b, (low.contains(k.lower()) for k in rule.keywords if k))
-
-
-def rule_findings(chars: Column, rule: Rule, low: Column, digit: Column) -> Column:
-    """Array of the rule's findings, each once."""
-    group = rule.group
-    text = rule.pattern if group == 0 else with_prefix_group(rule.pattern, group)
-    pattern = F.lit(java_pattern(text))
-
-    def window(at: Column) -> Column:
-        left = F.least(at, F.lit(1))
-        seen = F.substr(chars, at - left + 1, left + F.lit(rule.max_match_len + 1))
-        return F.struct((at - left).alias("base"), at.alias("at"), seen.alias("seen"), F.regexp_instr(seen, pattern).alias("place"))
-
-    def value(w: Column) -> Column:
-        whole = F.regexp_extract(w["seen"], java_pattern(text), 0 if group == 0 else group + 1)
-        before = F.lit(0) if group == 0 else F.length(F.regexp_extract(w["seen"], java_pattern(text), 1))
-        start = w["base"] + w["place"] - 1 + before
-        return F.struct(start.alias("start"), whole.alias("value"))
+def candidates(column: Column, rules: Sequence[Rule]) -> Column:
+    """Offsets in a text or binary column where windows of the rules open, in order."""
+    matcher = ColumnMatcher(rules)
 
-    hits = F.filter(F.transform(candidates(chars, rule), window), lambda w: (w["place"] > 0) & (w["base"] + w["place"] - 1 >= w["at"]))
-    valid = F.filter(F.transform(hits, value), lambda v: all_hold(rule.validators, v["value"]))
-    shown = F.transform(valid, lambda v: F.struct(v["start"].cast("int").alias("start"), (v["start"] + F.length(v["value"])).cast("int").alias("end"), F.lit(rule.id).alias("rule_id"), F.lit(rule.class_).alias("class"), F.lit(rule.confidence).alias("confidence")))
-    return F.when(may_hold(rule, low, digit) & chars.rlike(gate(rule)), F.array_distinct(shown)).otherwise(F.array().cast(FINDINGS))
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return matcher.anchor_lists(texts)
 
+    return run.asNondeterministic()(column)
 
-def _python_findings(rules: Sequence[Rule]):
-    matcher = Matcher(rules)
 
-    @F.pandas_udf(T._parse_datatype_string(f"x {FINDINGS}")[0].dataType)
-    def run(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in bodies:
-            yield series.map(lambda b: [{"start": f.start, "end": f.end, "rule_id": f.rule_id, "class": f.class_, "confidence": f.confidence} for f in matcher.find(bytes(b))] if b is not None else [])
+def found(column: Column, rules: Sequence[Rule] = SHIPPED) -> Column:
+    """The findings of a text or binary column, by start, end and rule. Null has none."""
+    matcher = ColumnMatcher(rules)
 
-    return run
+    @F.arrow_udf(FINDINGS)
+    def run(texts: pa.Array) -> pa.Array:
+        return matcher.findings(texts, ARROW_FINDINGS)
 
+    return run.asNondeterministic()(column)
 
-def detect(df: DataFrame, column: str = "text", rules: Sequence[Rule] = SHIPPED, out: str = "findings", *, python: bool = False) -> DataFrame:
-    """Adds ``out``: the findings of a text or binary column, by start, end and rule. Null has none.
 
-    Rules whose value built-in expressions can't place, and all with ``python``, run in an Arrow UDF.
-    """
-    binary = dict(df.dtypes)[column] == "binary"
-    native = [] if python else [r for r in rules if is_native(r)]
-    other = [r for r in rules if r not in native]
-    chars = F.coalesce(byte_chars(F.col(column), binary), F.lit(""))
-    if native:
-        df = df.withColumn("__chars", chars).withColumn("__low", F.lower("__chars")).withColumn("__digit", F.col("__chars").rlike("[0-9]"))
-    parts = [rule_findings(F.col("__chars"), r, F.col("__low"), F.col("__digit")) for r in native]
-    if other:
-        parts.append(_python_findings(other)(F.col(column) if binary else F.encode(F.col(column), "UTF-8")))
-    all_ = F.concat(*parts) if parts else F.array().cast(FINDINGS)
-    return df.withColumn(out, F.array_sort(all_)).drop("__chars", "__low", "__digit")
+def detect(df: DataFrame, column: str = "text", rules: Sequence[Rule] = SHIPPED, out: str = "findings") -> DataFrame:
+    """Adds ``out``: the findings of a text or binary column."""
+    return df.withColumn(out, found(F.col(column), rules) if rules else F.array().cast(FINDINGS))
 
 
 def exploded(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:

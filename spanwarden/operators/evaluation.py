@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..rules import SHIPPED, Rule
@@ -67,8 +67,40 @@ def gate(scored: DataFrame, floors: DataFrame, min_precision: float = 0.80, min_
     return joined.filter((F.col("precision") < F.col("min_precision")) | (F.col("recall") < min_recall)).select("class", "precision", "recall", "min_precision").orderBy("class")
 
 
-def report(scored: DataFrame) -> list[str]:
+# The layout of the report's columns.
+HEAD_FORMAT = "%-36s %7s %7s %5s %5s %5s %5s %8s"
+ROW_FORMAT = "%-36s %7s %7s %5d %5d %5d %5d %8.2f"
+COLUMNS = ("Class", "Prec", "Recall", "TP", "FP", "FN", "TN", "Confidence")
+RULE = ("-----", "----", "------", "--", "--", "--", "--", "----------")
+
+NOTE = ("", "Measured on the entries of the corpus, which hold both kinds on purpose; other text may score", "otherwise. Confidence is what these counts of false positives support.")
+
+
+def percent(x: Column) -> Column:
+    """A share as text with one decimal; N/A where there is none."""
+    return F.when(x.isNull() | F.isnan(x), "  N/A").otherwise(F.format_string("%5.1f%%", x * 100))
+
+
+def report_lines(scored: DataFrame) -> DataFrame:
+    """class, line: a row of the report for each class."""
+    return scored.select("class", F.format_string(ROW_FORMAT, "class", percent(F.col("precision")), percent(F.col("recall")), "tp", "fp", "fn", "tn", "measured").alias("line"))
+
+
+def report(scored: DataFrame, note: bool = False) -> list[str]:
     """The table of an evaluation, a line for each class; classes are as few as the rules."""
-    head = "%-36s %7s %7s %5s %5s %5s %5s %8s" % ("Class", "Prec", "Recall", "TP", "FP", "FN", "TN", "Confidence")
-    line = F.format_string("%-36s %6.1f%% %6.1f%% %5d %5d %5d %5d %8.2f", "class", F.col("precision") * 100, F.col("recall") * 100, "tp", "fp", "fn", "tn", "measured")
-    return [head, *(r.line for r in scored.orderBy("class").select(line.alias("line")).collect())]
+    lines = [r.line for r in report_lines(scored).orderBy("class").collect()]
+    return [HEAD_FORMAT % COLUMNS, HEAD_FORMAT % RULE, *lines, *(NOTE if note else ())]
+
+
+def percentiles(df: DataFrame, column: str, keys: Sequence[str] = (), shares: Sequence[float] = (0.5, 0.99)) -> DataFrame:
+    """keys, p50, p99 (by ``shares``): the value at index floor(n * share) of the sorted values, 0 for none.
+
+    Ranks come from counts of equal values, so sorting is by value and not by row."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*keys).orderBy(column)
+    upto = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    placed = counted.withColumn("__to", upto).withColumn("__all", total)
+    at = [F.min(F.when(F.col("__to") > F.floor(F.col("__all") * s), F.col(column))).alias(f"p{s * 100:g}") for s in shares]
+    found = placed.groupBy(*keys).agg(*at)
+    return found.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c not in keys))

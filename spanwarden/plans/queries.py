@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import actions, crossings, evaluation
-from ..operators.detect import detect, exploded
+from ..operators.detect import candidates, detect, exploded
 from ..operators.policy import Config, Exemption, PolicyRule, policy_actions, route
 from ..rules import SHIPPED
 from ..session import reach_workers
@@ -81,11 +81,8 @@ def _built_rule(rule: str):
 
 def candidates_digit(spark, sf_dir):
     """Digit-run starts of each document: the anchors that windows open at."""
-    from ..operators.detect import byte_chars
-    from ..operators.detect import candidates as starts
-
-    docs = table(spark, sf_dir, "documents")
-    at = starts(byte_chars(F.coalesce("text", F.lit(""))), RULE["credit-card-pan"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", candidates(F.col("text"), [RULE["us-ssn-structural"]]).alias("at"))
+    at = F.col("at")
     return docs.select("doc_id", F.size(at).cast("long").alias("n_starts"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_starts"))
 
 
@@ -242,12 +239,15 @@ def sse_deltas(spark, sf_dir):
 
 
 def stream_scan(spark, sf_dir):
-    """Verdict of each conversation's stream, through the guard."""
+    """Verdict of each conversation's stream, through the guard, and the card numbers found in streams
+    that went through."""
     f = _event_frames(spark, sf_dir)
     frames = f.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").cast("long").alias("seq"), F.lit("/v1/chat/completions").alias("path"), F.lit("openai").alias("dest"), F.lit("").alias("model"), F.encode("frame", "UTF-8").alias("frame"), F.lit(False).alias("last"))
-    out = guard.guard_batch(frames, POLICY)
-    closed = out.filter("kind = 'ledger'").select("stream_id", F.get_json_object("ledger", "$.verdict").alias("verdict"), F.coalesce(F.get_json_object("ledger", "$.findings[0].count").cast("long"), F.lit(0)).alias("n_findings"))
-    return closed.select(F.col("stream_id").cast("long").alias("conv_id"), "verdict", "n_findings")
+    out = guard.guard_batch(frames, POLICY).filter("kind = 'ledger'")
+    entry = F.from_json("ledger", "findings array<struct<class:string,count:bigint>>, verdict string")
+    cards = F.aggregate(F.filter(F.col("e.findings"), lambda x: x["class"] == "regulated.credit_card"), F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    closed = out.select(F.col("stream_id").cast("long").alias("conv_id"), entry.alias("e"))
+    return closed.select("conv_id", F.col("e.verdict").alias("verdict"), F.when(F.col("e.verdict") == "blocked", 0).otherwise(cards).alias("n_cards"))
 
 
 def route_upstream(spark, sf_dir):
@@ -391,6 +391,9 @@ SQL = {
     "response_scan": "SELECT 'masked' AS verdict, count(*) AS n FROM conversations",
     "event_fields": "SELECT '$.' || field AS field, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS field FROM events) WHERE field NOT IN ('id', 'object', 'created', 'model', 'choices', 'usage', 'system_fingerprint') GROUP BY 1",
     "sse_deltas": "SELECT conv_id, turn, sha256(coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN ' 4111 1111 1111 1111' ELSE '' END) AS text_sha256, 0::BIGINT AS n_unscanned FROM conversations",
+    "stream_scan": f"""WITH s AS (SELECT conv_id, string_agg(coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN ' 4111 1111 1111 1111' ELSE '' END, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), f AS ({_all('s', 'conv_id', 'text')}),
+      v AS (SELECT conv_id, bool_or(class LIKE 'secret.%') AS blocked, bool_or(class LIKE 'regulated.%') AS masked, count(*) FILTER (class = 'regulated.credit_card') AS n FROM f GROUP BY conv_id)
+      SELECT conv_id, CASE WHEN blocked THEN 'blocked' WHEN masked THEN 'masked' ELSE 'forwarded' END AS verdict, CASE WHEN blocked THEN 0 ELSE coalesce(n, 0) END AS n_cards FROM s LEFT JOIN v USING (conv_id)""",
     "route_upstream": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'openai' WHEN c_custkey % 5 = 0 THEN 'anthropic' WHEN c_custkey % 5 = 1 THEN 'openai' END AS upstream,
       CASE WHEN c_custkey % 3 = 0 THEN '/v1/x' || c_custkey WHEN c_custkey % 5 IN (0, 1) THEN '/v1/messages' END AS upstream_path FROM customer""",
 }
@@ -408,8 +411,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import gateway_queries
+
+    return QUERIES | gateway_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import gateway_queries
+
+    return SQL | gateway_queries.SQL

@@ -1,4 +1,4 @@
-"""Detection rules: data, validation, YAML, and the patterns' translation for the JVM and for Python.
+"""Detection rules: data, validation, YAML, and the patterns' translation for Python's re.
 
 A rule names an anchor (literal keywords, digit runs or the shape of an IBAN), a regular expression that
 sees a bounded window from each anchor on, and validators of the matched value. All offsets are bytes.
@@ -99,10 +99,8 @@ def rule_rows(rules: list[Rule] | tuple[Rule, ...]) -> list[tuple]:
     return [(r.id, r.class_, r.severity, r.pattern, r.max_match_len, list(r.keywords), r.kind, list(r.validators), r.confidence, r.match_group, (list(r.positive), list(r.negative))) for r in rules]
 
 
-# --- dialects -------------------------------------------------------------------------------------
+# --- patterns -------------------------------------------------------------------------------------
 
-_WORD = "[0-9A-Za-z_]"
-_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _SPACE = r"\t\n\f\r "
 
 
@@ -126,27 +124,6 @@ def _tokens(pattern: str):
         i += step
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern for java.util.regex over one character a byte: ASCII boundaries and classes, and
-    only the newline ends a line."""
-    out = ["(?d)"]
-    for token, inside in _tokens(pattern):
-        if token == r"\b" and not inside:
-            token = _BOUNDARY
-        elif token == r"\s":
-            token = _SPACE if inside else f"[{_SPACE}]"
-        elif token == r"\S" and not inside:
-            token = f"[^{_SPACE}]"
-        elif token == r"\d":
-            token = "0-9" if inside else "[0-9]"
-        elif token == r"\z":
-            token = r"\z"
-        elif inside and token in ("[", "&"):
-            token = "\\" + token
-        out.append(token)
-    return "".join(out)
-
-
 def python_pattern(pattern: str) -> bytes:
     """The pattern for Python's re over bytes."""
     out = []
@@ -162,7 +139,7 @@ def python_pattern(pattern: str) -> bytes:
 
 
 def anchor(rule: Rule) -> str:
-    """A zero-width pattern of the places where windows open; the same text in both dialects."""
+    """A zero-width pattern of the places where windows open."""
     if rule.kind == "digit":
         return "(?<![0-9])(?=[0-9])"
     if rule.kind == "iban":
@@ -170,56 +147,6 @@ def anchor(rule: Rule) -> str:
     return "(?=(?i:" + "|".join(re.escape(k) for k in rule.keywords if k) + "))"
 
 
-def gate(rule: Rule) -> str:
-    """A pattern that every text with a finding matches: the rule's own without word boundaries, or the
-    anchor where other assertions make that unsafe."""
-    parts, unsafe = [], False
-    for token, inside in _tokens(rule.pattern):
-        if token == r"\b" and not inside:
-            continue
-        unsafe |= token in (r"\B", r"\A", r"\z", r"\Z") or (not inside and token in "^$")
-        parts.append(token)
-    text = "".join(parts)
-    return java_pattern(text) if not unsafe and "(?=" not in text and "(?<" not in text and "(?!" not in text else anchor(rule)
-
-
-def with_prefix_group(pattern: str, group: int) -> str | None:
-    """The pattern with all before a top-level group captured as group 1, so that the value (then group
-    + 1) has a place; None where the group isn't top-level and always taken."""
-    flags = re.match(r"(\(\?[a-zA-Z]+\))*", pattern).group(0)
-    body = pattern[len(flags) :]
-    depth = number = at = 0
-    for token, inside in _tokens(body):
-        if not inside and token == "(":
-            captures = body[at : at + 2] != "(?"
-            number += captures
-            if captures and number == group:
-                if depth:
-                    return None
-                end = _closing(body, at)
-                if body[end + 1 : end + 2] in ("?", "*", "{"):
-                    return None
-                return f"{flags}({body[:at]}){body[at:]}"
-            depth += 1
-        elif not inside and token == ")":
-            depth -= 1
-        elif not inside and token == "|" and depth == 0:
-            return None
-        at += len(token)
-    return None
-
-
-def _closing(body: str, start: int) -> int:
-    depth = at = 0
-    for token, inside in _tokens(body):
-        if at >= start and not inside:
-            depth += (token == "(") - (token == ")")
-            if depth == 0:
-                return at
-        at += len(token)
-    return len(body) - 1
-
-
 def glob_pattern(glob: str) -> str | None:
     """A class glob as an anchored regular expression; None where the glob is malformed and so matches
     nothing. The star stops at a slash."""

@@ -41,10 +41,26 @@ def print_text(results: DataFrame) -> Iterator[str]:
         yield r.line
 
 
-def print_json(results: DataFrame) -> str:
-    return json.dumps([json.loads(r.value) for r in json_rows(results).orderBy("path").toLocalIterator()], indent=2)
+def print_json(results: DataFrame) -> Iterator[str]:
+    """The JSON report, an array of a line for each file with findings; one at a time is in memory."""
+    lines = (r.value for r in json_rows(results).orderBy("path").toLocalIterator())
+    before = "["
+    for line in lines:
+        yield before + line
+        before = ","
+    yield "]" if before == "," else "[]"
+
+
+def ledger_lines(entries: DataFrame) -> DataFrame:
+    """value: evidence rows as JSON lines; keys without a value are left out."""
+    return entries.select(F.to_json(F.struct(*entries.columns)).alias("value"))
 
 
 def append_ledger(entries: DataFrame, folder: str) -> None:
-    """Evidence rows as JSON lines, added to a folder; keys without a value are left out."""
-    entries.select(F.to_json(F.struct(*entries.columns)).alias("value")).write.mode("append").text(folder)
+    """Evidence rows as JSON lines, added to a folder."""
+    ledger_lines(entries).write.mode("append").text(folder)
+
+
+def put_ledger(entries: DataFrame, folder: str, run: str) -> None:
+    """The evidence of one run, in place of an earlier attempt of the same run."""
+    ledger_lines(entries).write.mode("overwrite").text(f"{folder.rstrip('/')}/run={run}")

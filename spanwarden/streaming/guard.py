@@ -39,9 +39,10 @@ class StreamGuard:
     scan: StreamScan | None = None
     size: int = 0  # bytes of text so far
     pending: list[tuple[bytes, int, int]] = field(default_factory=list)
-    spans: list[tuple[int, int]] = field(default_factory=list)
+    spans: list[tuple[int, int]] = field(default_factory=list)  # those that events not yet out may meet
+    masked: bool = False
     counts: dict[tuple[str, str], int] = field(default_factory=dict)
-    unscanned: list[str] = field(default_factory=list)
+    unscanned: dict[str, None] = field(default_factory=dict)
     blocked: Finding | None = None
     closed: bool = False
 
@@ -56,7 +57,7 @@ class StreamGuard:
         event, data, said = frame_fields(frame)
         text, unscanned = event_delta(self.path, event, data)
         raw = text.encode("utf-8", "replace")
-        self.unscanned += [u for u in [*unscanned, *([COMMENT] if said else [])] if u not in self.unscanned]
+        self.unscanned |= dict.fromkeys([*unscanned, *([COMMENT] if said else [])])
         self.pending.append((frame, self.size, self.size + len(raw)))
         self.size += len(raw)
         if self.scan is None or not self.size:
@@ -86,13 +87,16 @@ class StreamGuard:
                 continue
             if action == "block":
                 self.blocked = f
-            elif action == "mask" and (f.start, f.end) not in self.spans:
+            elif action == "mask":
+                self.masked = True
                 self.spans.append((f.start, f.end))
 
     def _release(self, safe: int) -> list[bytes]:
         n = next((i for i, (_, _, end) in enumerate(self.pending) if end > safe), len(self.pending))
         out = [mask_event(f, s, e, self.spans, self.path) for f, s, e in self.pending[:n]]
         self.pending = self.pending[n:]
+        gone = self.pending[0][1] if self.pending else self.size
+        self.spans = [s for s in self.spans if s[1] > gone]
         return out
 
     def _block_event(self) -> bytes:
@@ -101,11 +105,11 @@ class StreamGuard:
 
     @property
     def verdict(self) -> str:
-        return "blocked" if self.blocked else "masked" if self.spans else "forwarded"
+        return "blocked" if self.blocked else "masked" if self.masked else "forwarded"
 
     def ledger(self) -> str:
         """The evidence row, without a time: the sink adds that of writing."""
-        entry = {"schema_version": SCHEMA_VERSION, "req_id": self.stream_id, "direction": "response", "dest": self.dest, "model": self.model or None, "findings": [{"class": c, "count": n, "action": a} for (c, a), n in sorted(self.counts.items())], "unscanned_fields": self.unscanned or None, "verdict": self.verdict, "body_sha256": ""}
+        entry = {"schema_version": SCHEMA_VERSION, "req_id": self.stream_id, "direction": "response", "dest": self.dest, "model": self.model or None, "findings": [{"class": c, "count": n, "action": a} for (c, a), n in sorted(self.counts.items())], "unscanned_fields": list(self.unscanned) or None, "verdict": self.verdict, "body_sha256": ""}
         return json.dumps({k: v for k, v in entry.items() if v is not None}, separators=(",", ":"))
 
 
@@ -148,6 +152,8 @@ def _packed(state: Ordered) -> bytes:
     """The state without the compiled rules, which every worker has."""
     g = state.guard
     g.matcher, scan = None, g.scan
+    if g.closed:  # a mark is all that late frames need
+        g.scan, g.pending, g.spans, scan = None, [], [], None
     if scan is not None:
         scan.matcher = None
     return pickle.dumps(state)
@@ -155,7 +161,9 @@ def _packed(state: Ordered) -> bytes:
 
 def _unpacked(data: bytes, matcher: Matcher | None, config: Config) -> Ordered:
     state: Ordered = pickle.loads(data)
-    state.guard.matcher, state.guard.config = matcher, config
+    state.guard.config = config
+    if not state.guard.closed:
+        state.guard.matcher = matcher
     if state.guard.scan is not None:
         state.guard.scan.matcher = matcher
     return state
@@ -174,7 +182,8 @@ def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes | None, bool]]:
 def guard_batch(frames: DataFrame, config: Config, rules: Sequence[Rule] | None = SHIPPED, hold_iban_prefix: bool = False) -> DataFrame:
     """The guard over a table of frames; a stream without a closing row ends with its last frame.
 
-    A stream is one group and its frames go by in order, a batch at a time."""
+    A stream is one group and its frames go by in order, a batch at a time: its state depends on all that
+    came before, so one endless stream is one task's work, in bounded memory."""
     matcher = Matcher(rules) if rules is not None else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,14 +212,23 @@ def _closing(state: Ordered | None, key) -> list[tuple]:
     return [(key, *o) for o in state.take(iter([(state.due, None, True)]))]
 
 
-def guard_stream(frames: DataFrame, config: Config, rules: Sequence[Rule] | None = SHIPPED, hold_iban_prefix: bool = False) -> DataFrame:
-    """The guard as a stateful operator of a streaming query; state is kept until a stream closes."""
+def guard_stream(frames: DataFrame, config: Config, rules: Sequence[Rule] | None = SHIPPED, hold_iban_prefix: bool = False, idle_ms: int | None = None) -> DataFrame:
+    """The guard as a stateful operator of a streaming query.
+
+    A closed stream keeps a mark by which late frames are known. With ``idle_ms``, a stream without frames
+    for so long (processing time) is closed as by its last frame, and a closed one is forgotten."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     matcher = Matcher(rules) if rules is not None else None
+    columns = ["stream_id", "out_seq", "kind", "payload", "ledger"]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = None if not state.exists else _unpacked(bytes(state.get[0]), matcher, config)
+        if state.hasTimedOut:
+            out = [] if kept.guard.closed else kept.take(iter([(kept.due, None, True)]))
+            state.remove()
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=columns)
+            return
         rows: list[tuple[int, bytes | None, bool]] = []
         for pdf in parts:
             if kept is None and len(pdf):
@@ -218,9 +236,12 @@ def guard_stream(frames: DataFrame, config: Config, rules: Sequence[Rule] | None
             rows += _rows(pdf)
         out = kept.take(iter(sorted(rows, key=lambda r: r[0])))
         state.update((_packed(kept),))
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["stream_id", "out_seq", "kind", "payload", "ledger"])
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=columns)
 
-    return frames.groupBy("stream_id").applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return frames.groupBy("stream_id").applyInPandasWithState(run, OUT, "state binary", "append", timeout)
 
 
 def ledger_rows(out: DataFrame) -> DataFrame:

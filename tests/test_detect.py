@@ -1,11 +1,13 @@
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanwarden.functions import validators as V
-from spanwarden.functions.matcher import Matcher, StreamScan
-from spanwarden.operators.detect import detect, is_native
+from spanwarden.functions.matcher import ColumnMatcher, Matcher, StreamScan
+from spanwarden.operators.detect import ARROW_FINDINGS, detect
 from spanwarden.rules import SHIPPED, Rule, RuleError, dump_rule, glob_pattern, load_rules, parse_rule
 
 LONG = "aB3dE5gH7jK9mN1pQ2sT4vW6yZ8" * 5
@@ -39,25 +41,23 @@ CASES = [
 ]
 
 
-def native_findings(spark, texts, rules=SHIPPED, python=False):
+def column_findings(spark, texts, rules=SHIPPED):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    rows = detect(df, "text", rules, python=python).orderBy("i").collect()
+    rows = detect(df, "text", rules).orderBy("i").collect()
     return [[(f["rule_id"], f["start"], f["end"]) for f in r.findings] for r in rows]
 
 
-@pytest.mark.parametrize("python", [False, True])
-def test_known_cases(spark, python):
-    got = native_findings(spark, [t for t, _ in CASES], python=python)
+def test_known_cases(spark):
+    got = column_findings(spark, [t for t, _ in CASES])
     for (text, want), found in zip(CASES, got, strict=True):
         assert sorted(found) == sorted(want), text
 
 
 def test_rules_find_their_own_examples(spark):
     for r in SHIPPED:
-        assert is_native(r)
-        assert all(native_findings(spark, r.positive, [r])), r.id
-        assert not any(native_findings(spark, r.negative, [r])), r.id
-        assert all(f[0][2] <= len(t.encode()) for t, f in zip(r.positive, native_findings(spark, [t + " x" for t in r.positive], [r]), strict=True))
+        assert all(column_findings(spark, r.positive, [r])), r.id
+        assert not any(column_findings(spark, r.negative, [r])), r.id
+        assert all(f[0][2] <= len(t.encode()) for t, f in zip(r.positive, column_findings(spark, [t + " x" for t in r.positive], [r]), strict=True))
 
 
 OTHER = [
@@ -79,11 +79,9 @@ def test_other_rules(spark):
         {("xy", 0, 2), ("yz", 1, 3)}, {("z-outer", 0, 8), ("a-inner", 6, 8), ("late", 3, 7)}, {("late", 6, 10), ("a-inner", 9, 11)}, {("group", 3, 7)},
         {("late", 0, 4)}, {("late", 1, 5)}, set(), {("nested", 2, 4), ("nested", 5, 6)},
     ]
-    assert not is_native(OTHER[7])
-    for python in (False, True):
-        got = native_findings(spark, texts, OTHER, python)
-        assert [set(g) for g in got[:7]] == want[:7] and set(got[7]) == want[7], python
-    assert [f[0] for f in native_findings(spark, ["abc12345"], OTHER)[0]][0] == "z-outer"
+    got = column_findings(spark, texts, OTHER)
+    assert [set(g) for g in got] == want
+    assert [f[0] for f in column_findings(spark, ["abc12345"], OTHER)[0]][0] == "z-outer"
 
 
 def random_text(rng):
@@ -91,12 +89,46 @@ def random_text(rng):
     return "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
 
 
-def test_native_equals_bytes_on_random_texts(spark):
-    rng = random.Random(1)
-    texts = [random_text(rng) for _ in range(3000)]
-    matcher = Matcher(SHIPPED)
-    for text, found in zip(texts, native_findings(spark, texts), strict=True):
-        assert sorted(found) == sorted((f.rule_id, f.start, f.end) for f in matcher.find(text.encode())), repr(text)
+@pytest.mark.parametrize("segment", [5, 64, 1 << 22])
+def test_column_equals_single_texts(segment):
+    rng = random.Random(segment)
+    texts = [rng.choice([None, "", "4", "GB"]) if rng.random() < 0.1 else random_text(rng) for _ in range(40 * min(segment, 40))]
+    for rules in (SHIPPED, OTHER):
+        matcher, single = ColumnMatcher(rules, segment), Matcher(rules)
+        for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts)[3:-5], pa.array([None if t is None else t.encode() for t in texts], pa.binary())):
+            got = matcher.findings(column, ARROW_FINDINGS).to_pylist()
+            for text, found in zip(column.to_pylist(), got, strict=True):
+                raw = (text.encode() if isinstance(text, str) else text) or b""
+                assert [(f["start"], f["end"], f["rule_id"]) for f in found] == [tuple(f[:3]) for f in single.find(raw)], text
+
+
+def test_anchor_lists():
+    rows = ColumnMatcher([SHIPPED[4]], 5).anchor_lists(pa.array(["12 a3", None, "", "4 5", "x"]))
+    assert rows.to_pylist() == [[0, 4], [], [], [0, 2], []]
+
+
+def test_a_thousand_rules_find_what_each_finds():
+    rules = [Rule(f"r{k:04d}", "c", rf"key{k:04d}=[a-z]{{4}}", 12, keywords=(f"key{k:04d}",)) for k in range(1000)] + list(SHIPPED)
+    texts = [f"some words key{k:04d}=abcd and KEY{k + 1:04d}=wxyz" for k in range(0, 999, 7)] + ["plain prose " * 2000]
+    matcher = ColumnMatcher(rules)
+    assert matcher.automaton is not None
+    began = time.perf_counter()
+    got = matcher.findings(pa.array(texts), ARROW_FINDINGS).to_pylist()
+    assert [[f["rule_id"] for f in row] for row in got] == [[f"r{k:04d}"] for k in range(0, 999, 7)] + [[]]
+    assert time.perf_counter() - began < 5
+
+
+def test_work_grows_with_the_text_alone():
+    """Text full of digit runs, the densest in anchors: twice the text takes about twice the time."""
+    matcher, took = ColumnMatcher(SHIPPED), []
+    rng = random.Random(3)
+    for size in (1 << 20, 1 << 22):
+        text = " ".join(str(rng.randrange(10**9)) for _ in range(size // 10)) + " 4111 1111 1111 1111"
+        began = time.perf_counter()
+        rows = matcher.findings(pa.array([text]), ARROW_FINDINGS)
+        took.append(time.perf_counter() - began)
+        assert any(f["rule_id"] == "credit-card-pan" and f["end"] == len(text) for f in rows[0].as_py())
+    assert took[1] < 6 * took[0] + 1
 
 
 @pytest.mark.parametrize("size", [1, 2, 8, 256, None])

@@ -45,7 +45,7 @@ def test_block_withholds_the_prefix():
     frames = [chunk(CHAT, "the key is AKIAIOSFODNN7EX"), b": keep-alive\n\n", chunk(CHAT, "AMPLE done " + "x" * 30)]
     g, out = run(CHAT, [], BLOCK, SHIPPED, frames)
     sent = b"".join(f for o in out for f in o)
-    assert b"AKIA" not in sent and sent.startswith(b"event: error\ndata: {") and g.verdict == "blocked" and g.unscanned == ["sse:comment"]
+    assert b"AKIA" not in sent and sent.startswith(b"event: error\ndata: {") and g.verdict == "blocked" and list(g.unscanned) == ["sse:comment"]
     g, out = run(CHAT, ["TESTKEYABCDEFGHIJKLMNOP"], BLOCK)
     assert out[0] == [] and b"policy_blocked" in out[1][0]
 
@@ -53,7 +53,7 @@ def test_block_withholds_the_prefix():
 def test_passthrough_is_byte_identical():
     frames = [b"event: ping\ndata: {}\n\n", chunk(CHAT, "prose without keys"), b":\n\n", b": \n\n", b"data: [DONE]\n\n", b"data: {\"odd\": 1}"]
     g, out = run(CHAT, [], MASK, SHIPPED, frames)
-    assert [f for o in out for f in o] == frames and g.unscanned == ["$.odd"] and g.verdict == "forwarded"
+    assert [f for o in out for f in o] == frames and list(g.unscanned) == ["$.odd"] and g.verdict == "forwarded"
 
 
 def test_frame_parse_and_choices():
