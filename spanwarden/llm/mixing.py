@@ -5,17 +5,19 @@ all words, no source more than twice its own (the excess is shared again by weig
 
 The words of a source form one stream (documents in a pseudorandom order) that is cut into blocks of
 ``BLOCK`` words. A source takes as many slots as its target holds blocks; the last slot is trimmed, so
-the words taken are the target rounded down. Output places are a pseudorandom permutation of all
-slots and a shard is a range of places: the counts of sources in the shards are multinomial draws
-given their totals (drawn without putting back), since free draws miss a small source's target by
-several per cent. The k-th slot of a source reads the block that the permutation of this source and
-pass gives for k, so every pass over a source reads each block at most once and no document is taken
-more than twice. Slots and blocks meet in a join on (source, block), whose keys are even however
-large a source is. Prefix sums of a source run in two levels, over chunks and within them.
+the words taken are the target rounded down. For each source, a multinomial draw deals its slots over
+the output shards, so every shard has a multinomial count of each source and no target is missed: free
+draws by shard would miss a small source's by several per cent. Within a source the slots, counted
+through the shards, map through a pseudorandom permutation (a Feistel network whose walks stay below
+the count) to indexes of pass and block, and blocks of a pass through another; a shard's places are
+permuted likewise. Every pass over a source reads each block at most once and no document is taken
+more than twice. Slots and blocks meet in a join on (source, block), whose keys are even however large
+a source is. Prefix sums of a source run in two levels, over chunks and within them.
 
 Defined cases: null text and text of white space have size 0 and are never taken; null sources are a
 source of their own; repeated rows count each; a null id is ordered first; an empty table gives an
-empty result. Reruns agree: nothing depends on partitioning but for rows equal in id and size.
+empty result. Ids may be of any type. Reruns agree: nothing depends on partitioning but which of
+the rows equal in id and text comes first.
 """
 
 from __future__ import annotations
@@ -35,19 +37,45 @@ BLOCK = 256
 SLOTS_PER_SHARD = 4096
 SLOTS_PER_TASK = 16_384
 
-#: The largest primes below 2 ** 31; a prime above n has no factor in common with n.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+ROUNDS, WALK = 4, 64
+
+
+def _network(x: Column, left: Column, right: Column, *key: Column) -> Column:
+    """A bijection of numbers of left + right bits: halves in turn take the exclusive or of a hash of the other."""
+    low, high = [F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1 for n in (right, left)]
+    a, b = F.call_function("shiftrightunsigned", x, right), x.bitwiseAND(low)
+    for k in range(ROUNDS):
+        if k % 2 == 0:
+            a = a.bitwiseXOR(F.xxhash64(b, *key, F.lit(k)).bitwiseAND(high))
+        else:
+            b = b.bitwiseXOR(F.xxhash64(a, *key, F.lit(k)).bitwiseAND(low))
+    return F.call_function("shiftleft", a, right).bitwiseOR(b)
 
 
 def permuted(k: Column, n: Column, *key: Column) -> Column:
-    """The place of k in a pseudorandom permutation of 0 to n - 1, chosen by key."""
-    draw = F.xxhash64(*key, F.lit(11))
-    prime = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), (F.pmod(draw, F.lit(len(PRIMES))) + 1).cast("int"))
-    shift = F.pmod(F.shiftrightunsigned(draw, 8), n)
-    small = F.pmod(k * prime + shift, n)
-    wide = "decimal(38,0)"  # beyond 2 ** 31 the product would leave a long
-    large = F.pmod(k.cast("decimal(19,0)") * F.lit(2305843009213693951).cast("decimal(19,0)") + shift.cast(wide), n.cast(wide)).cast("long")
-    return F.when(n < F.lit(PRIMES[-1]), small).otherwise(large)
+    """The place of k in a pseudorandom permutation of 0 to n - 1, chosen by key.
+
+    The network permutes the numbers of as many bits as n - 1 has (2 at least); numbers of n or more walk
+    on through it until they fall below n, which each step does with a chance of a half or more."""
+    bits = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"))
+    shape = F.struct(k.cast("long").alias("x"), F.floor(bits / 2).cast("int").alias("l"), (bits - F.floor(bits / 2)).cast("int").alias("r"))
+
+    def step(acc: Column, i: Column) -> Column:
+        x = _network(acc["x"], acc["l"], acc["r"], *key)
+        return F.when((i > 0) & (acc["x"] < n), acc).otherwise(F.struct(x.alias("x"), acc["l"].alias("l"), acc["r"].alias("r")))
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), shape, step)["x"]
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a walk did not end")).cast("long"))
+
+
+def sum_before(rows: DataFrame, key: str, chunk: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the key before each, by chunk and order, in two levels."""
+    totals = rows.groupBy(key, chunk).agg(F.sum(value).alias("__sum"))
+    upto = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(key, chunk, F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(base, [key, chunk])
+    return each.withColumn(out, F.col("__base") + F.col("__within")).drop("__base", "__within")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -72,7 +100,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 @dataclass
 class Mix:
     """documents: row, doc_id, source, size, source_size, target, off (place in the source's stream).
-    slots: source_no, pass, block, words (null: the whole block), shard, place.
+    slots: source_no, pass, block, words (null: the whole block), shard, place (in the shard).
     spans: row, pass, shard, place, start (word of the document), n (words taken)."""
 
     documents: DataFrame
@@ -80,35 +108,56 @@ class Mix:
     spans: DataFrame
 
 
+def draws(sources: DataFrame) -> DataFrame:
+    """source_no, shard, n, base (the source's slots in the shards before), ahead (slots of the sources before
+    in the shard), shard_size: a multinomial draw for each source, every slot falling into a shard by a
+    hash of its number."""
+    runs = sources.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_TASK)))).repartition("source_no", "run")
+    k = F.sequence(F.col("run") * SLOTS_PER_TASK, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOTS_PER_TASK) - 1)
+    each = runs.select("source_no", "shards", F.explode(k).alias("k")).withColumn("shard", F.pmod(F.xxhash64("source_no", "k", F.lit(5)), F.col("shards")))
+    counts = each.groupBy("source_no", "shard", "shards").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("chunk", F.floor(F.col("shard") / F.ceil(F.sqrt("shards"))))
+    counts = sum_before(counts, "source_no", "chunk", ["shard"], "n", "base")
+    in_shard = Window.partitionBy("shard").orderBy("source_no")  # a row a source
+    ahead = F.coalesce(F.sum("n").over(in_shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.sum("n").over(in_shard.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return counts.select("source_no", "shard", "n", "base", ahead.alias("ahead"), size.alias("shard_size"))
+
+
 def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
-    """sizes: a stored table of row (unique), doc_id, source, size."""
+    """sizes: a stored table of row (unique), h (a hash that all else follows), doc_id, source, size."""
     sources = ws.save(targets(sizes), "targets")
     chunks = F.ceil(F.sqrt("n_docs"))  # as many chunks as documents in one
-    h = F.xxhash64("doc_id")
     docs = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    docs = docs.withColumn("chunk", F.pmod(h, chunks)).withColumn("h", h)
-    key = Window.partitionBy("source_no", "chunk").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    totals = docs.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
-    base = totals.select("source_no", "chunk", F.coalesce(F.sum("words").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    docs = docs.withColumn("within", F.coalesce(F.sum("size").over(key), F.lit(0))).join(base, ["source_no", "chunk"])
-    docs = ws.save(docs.select("row", "doc_id", "source", "size", "source_no", "source_size", "target", (F.col("base") + F.col("within")).alias("off")), "placed")
+    # equal rows may be any number and stand for each other: those of one input partition are summed up first
+    docs = docs.withColumn("part", F.shiftrightunsigned("row", 33))
+    alike = ["source_no", "h", "size", "part"]
+    groups = docs.groupBy(*alike, chunks.alias("chunks")).agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
+    groups = groups.withColumn("chunk", F.pmod("h", "chunks"))
+    groups = sum_before(groups, "source_no", "chunk", ["h", "size", "part"], "words", "first")
+    before = F.row_number().over(Window.partitionBy(*alike).orderBy("row")) - 1
+    docs = docs.join(groups.select(*alike, "first").hint("merge"), alike).withColumn("off", F.col("first") + before * F.col("size"))
+    docs = ws.save(docs.select("row", "doc_id", "source", "size", "source_no", "source_size", "target", "off"), "placed")
 
     taken = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(taken / F.col("source_size"))).otherwise(0).cast("long")
     rest = taken - passes * F.col("source_size")
     s = sources.select("source_no", passes.alias("passes"), F.ceil(F.col("source_size") / block).alias("blocks"), F.floor(F.col("source_size") / block).alias("whole"), F.floor(rest / block).alias("q"), (rest % block).alias("rem"))
     s = s.withColumn("n_slots", F.col("passes") * F.col("blocks") + F.col("q") + F.when(F.col("rem") > 0, 1).otherwise(0))
-    order = Window.orderBy("source_no")
-    s = s.withColumn("first", F.coalesce(F.sum("n_slots").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = s.filter("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_TASK))))
-    s = s.repartition("source_no", "run")
-    k = F.sequence(F.col("run") * SLOTS_PER_TASK, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOTS_PER_TASK) - 1)
-    s = s.withColumn("k", F.explode(k)).withColumn("pass", F.least(F.col("passes"), F.floor(F.col("k") / F.col("blocks"))).cast("long")).withColumn("r", F.col("k") - F.col("pass") * F.col("blocks"))
+    every = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("shards", F.ceil(F.sum("n_slots").over(every) / SLOTS_PER_SHARD))
+    s = ws.save(s.filter("n_slots > 0"), "sources")
+    counts = ws.save(draws(s), "draws")
+    slots = s.join(counts.hint("merge"), "source_no").repartition("source_no", "shard")
+    slots = slots.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    slots = slots.withColumn("k", permuted(F.col("base") + F.col("i"), F.col("n_slots"), F.col("source_no"), F.lit(3)))
+    slots = slots.withColumn("pass", F.least(F.col("passes"), F.floor(F.col("k") / F.col("blocks"))).cast("long")).withColumn("r", F.col("k") - F.col("pass") * F.col("blocks"))
     last = (F.col("pass") == F.col("passes")) & (F.col("r") == F.col("q"))
     over = F.when(F.col("pass") < F.col("passes"), F.col("blocks")).otherwise(F.greatest(F.col("whole"), F.lit(1)))
-    at = F.when((F.col("pass") < F.col("passes")) | (F.col("r") < F.col("whole")), permuted(F.col("r"), over, F.col("source_no"), F.col("pass"))).otherwise(F.col("whole"))
-    place = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(5))
-    slots = s.select("source_no", "pass", at.alias("block"), F.when(last, F.col("rem")).alias("words"), F.floor(place / SLOTS_PER_SHARD).alias("shard"), place.alias("place"))
+    mapped = (F.col("pass") < F.col("passes")) | (F.col("r") < F.col("whole"))
+    slots = slots.withColumn("over", over).withColumn("at", F.when(mapped, permuted(F.col("r"), F.col("over"), F.col("source_no"), F.col("pass"))).otherwise(F.col("whole")))
+    place = permuted(F.col("ahead") + F.col("i"), F.col("shard_size"), F.col("shard"), F.lit(5))
+    slots = slots.select("source_no", "pass", F.col("at").alias("block"), F.when(last, F.col("rem")).alias("words"), "shard", place.alias("place"))
 
     pieces = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("off"), F.col("block") * block)
@@ -120,10 +169,16 @@ def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
     return Mix(docs, slots, spans)
 
 
+def _sizes(docs: DataFrame, row: Column) -> DataFrame:
+    """row, h, doc_id, source, size. The order of a source's documents follows from ids and texts alone."""
+    h = F.xxhash64("doc_id", text_of("text"))
+    return docs.select(row.alias("row"), h.alias("h"), "doc_id", "source", word_count(text_of("text")).alias("size"))  # rows count within partitions, whose number stands above bit 33
+
+
 def measured(spark: SparkSession, docs: DataFrame) -> tuple[Workspace, DataFrame]:
     ws = Workspace(spark, "mixing")
-    sizes = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(text_of("text")).alias("size"))
-    return ws, ws.save(sizes, "sizes")
+    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    return ws, ws.save(_sizes(numbered, F.col("row")), "sizes")
 
 
 def shares(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -140,7 +195,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     where there is such a column, is counted again."""
     ws = Workspace(spark, "mixing")
     stored = ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    sizes = ws.save(stored.select(F.col("__row").alias("row"), "doc_id", "source", word_count(text_of("text")).alias("size")), "sizes")
+    sizes = ws.save(_sizes(stored, F.col("__row")), "sizes")
     m = mix(ws, sizes)
     takes = m.spans.groupBy("row", "pass").agg(F.sum("n").alias("__n"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("__spans"))
     takes = takes.join(m.documents.select("row", F.col("size").alias("__size")).hint("merge"), "row").select(F.col("row").alias("__row"), "__n", "__spans", "__size")

@@ -68,17 +68,53 @@ def test_documents_hold_what_was_taken(spark):
     assert words == {d: n for d, n in taken.items() if n}
 
 
-def test_shard_draws_follow_the_shares(spark, monkeypatch):
+def test_shard_draws_are_multinomial(spark, monkeypatch):
+    """Every shard's places are filled once; counts of a source in the shards have the mean and the variance
+    of a multinomial draw; totals are what the targets ask for."""
     monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 50)
     rows, df = documents(spark, 4)
     ws, sizes = mixing.measured(spark, df)
-    m = mixing.mix(ws, sizes, block=16)
+    m = mixing.mix(ws, sizes, block=4)
     slots = m.slots.toPandas()
-    assert sorted(slots["place"]) == list(range(len(slots)))
+    assert len(slots) > 5000
+    for _, part in slots.groupby("shard"):
+        assert sorted(part["place"]) == list(range(len(part)))
+    assert not slots.duplicated(["source_no", "pass", "block"]).any()
     counts = slots.groupby(["shard", "source_no"]).size().unstack(fill_value=0)
-    hot = slots["source_no"].value_counts(normalize=True)
+    n_shards = len(counts)
     for s in counts.columns:
-        assert abs(counts[s].iloc[:-1].mean() / 50 - hot[s]) < 0.05
+        total = counts[s].sum()
+        if total < 1000:
+            continue
+        mean = total / n_shards
+        assert counts[s].mean() == pytest.approx(mean)
+        assert 0.6 * mean < counts[s].var() < 1.5 * mean * (1 - 1 / n_shards), s
+    # neighbours in a shard are no neighbours in their source
+    hot = slots[slots.source_no == slots.source_no.mode()[0]].sort_values(["shard", "place"])
+    steps = hot["block"].diff().dropna()
+    assert steps.value_counts(normalize=True).iloc[0] < 0.02
+
+
+def test_permutations(spark):
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 7, 8, 9, 31, 32, 33, 100, 1000, 4097)], "n long").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    both = sizes.select("n", *(mixing.permuted(F.col("k"), F.col("n"), F.lit(7), F.lit(k)).alias(f"p{k}") for k in (1, 2)), "k").toPandas()
+    for n, part in both.sort_values("k").groupby("n"):
+        assert sorted(part.p1) == list(range(n)) == sorted(part.p2)
+        if n > 30:
+            assert (part.p1 == part.p2).mean() < 0.2 and part.p1.diff().value_counts(normalize=True).iloc[0] < 0.2
+
+
+def test_many_rows_without_an_id_and_text_ids(spark):
+    rows = [(None, f"a b c {i % 3}", "s") for i in range(300)] + [(f"id{i}", "x " * 50, "t") for i in range(40)]
+    got = mixing.shares(spark, spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len(got) == 340 and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert sum(r.taken for r in got if r.doc_id is None) == int(got[0].target) if got[0].doc_id is None else True
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "v " * 10, "a"), (3, None, "b")]
+    got = {r.doc_id: r for r in mixing.shares(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 300_000 and got[1].taken + got[2].taken == int(got[1].target)
 
 
 def test_empty(spark):
