@@ -7,7 +7,8 @@ starts in one cell of width S = (B - H - s) / 2. A turn that costs more than S i
 So turns never split, and a window holds at most B unless one turn alone (or the system turn) costs
 more, in which case the window says so. Nothing is greedy: a turn's window follows from its own prefix
 sum, and these sums run in two levels over blocks of turns, so a conversation that holds a third of
-all rows is dealt over many tasks and no conversation is collected.
+all rows is dealt over many tasks and no conversation is collected. A block is a range of turn numbers:
+turns of one conversation that have the same number, or none, are ordered in one task.
 
 Each window repeats the conversation's system turn (its first turn, if of role system) and as many
 turns before it as H holds; repeated turns are marked and masked. The loss mask covers the text of
@@ -33,6 +34,7 @@ BUDGET = 2048
 HISTORY = 256
 TURN_COST = 4
 BLOCK = 256
+SALTS = 16
 
 OPEN, MID, CLOSE = "<s>", "[INST]", "[/INST]</s>"
 #: The control strings of the template and of its family.
@@ -71,7 +73,10 @@ def windows(spark: SparkSession, turns: DataFrame, budget: int = BUDGET, history
     ws = Workspace(spark, "chat")
     rows = ws.save(placed_turns(ws, turns), "placed")
     system = rows.filter("at = 0 and role = 'system'").select(F.col("conv").alias("c"), F.col("cost").alias("sys_cost"), F.col("role").alias("sys_role"), F.col("text").alias("sys_text"))
-    costs = rows.join(system.select("c", "sys_cost"), F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    # a conversation may hold a third of all turns: its system turn meets them in SALTS parts
+    system = system.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
+    costs = dealt.join(system.select("c", "s", "sys_cost").hint("merge"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("salt") == F.col("s")), "left").drop("c", "s", "salt")
     costs = costs.withColumn("sys_cost", F.coalesce("sys_cost", F.lit(0)))
     costs = costs.withColumn("width", F.greatest(F.lit(max(1, budget // 8)).cast("long"), F.floor((budget - history - F.col("sys_cost")) / 2)))
     # a large turn stands alone, so it parts the turns before it from those behind it in its cell
@@ -92,7 +97,8 @@ def windows(spark: SparkSession, turns: DataFrame, budget: int = BUDGET, history
     past = heads.join(tails, F.col("conv").eqNullSafe(F.col("c")) & (F.col("w_cell") == F.col("near")))
     past = past.filter((F.col("of") < F.col("window")) & (F.col("start") >= F.col("w_start") - allowance) & ~(F.col("has_sys") & (F.col("at") == 0)))
     past = past.select("conv", "window", "at", "role", "text", "cost", F.lit(True).alias("repeated"))
-    lead = heads.filter("window > 0").join(system, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "window", F.lit(0).cast("long").alias("at"), F.col("sys_role").alias("role"), F.col("sys_text").alias("text"), system["sys_cost"].alias("cost"), F.lit(True).alias("repeated"))
+    leads = heads.filter("window > 0").select("conv", "window").withColumn("salt", F.pmod(F.xxhash64("window"), F.lit(SALTS)).cast("int"))
+    lead = leads.join(system.hint("merge"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("salt") == F.col("s"))).select("conv", "window", F.lit(0).cast("long").alias("at"), F.col("sys_role").alias("role"), F.col("sys_text").alias("text"), F.col("sys_cost").alias("cost"), F.lit(True).alias("repeated"))
 
     parts = own.unionByName(past).unionByName(lead)
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 MAX_ROUNDS = 60
+#: Parts that the links of one vertex are dealt over when they meet what was found for it.
+SALTS = 8
+
+
+def _meet(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (u, v) with the row of ``least`` for u; a star's centre may have most of all links."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -23,11 +31,11 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
         # large star: every larger neighbour of u is linked to the least neighbour of u
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _meet(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every smaller neighbour of u, and u, is linked to the least of them
         large = large.filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = _meet(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = ws.save(small.filter("u != v").distinct(), f"{name}-{k}")
         # the links are stars when no vertex is both a centre and a leaf: a check by count and digest
         state = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -2,12 +2,14 @@
 
 Arrivals pass through a streaming aggregation whose keyed state lives in RocksDB on disk, has no
 watermark and so never expires. For each content digest the state keeps the first stable identifier,
-the locator of that row (ingest and row number) and the number of arrivals. Partial aggregation runs
-before the shuffle, so a group that holds a third of all rows costs one state row per task.
+its place of arrival (ingest and row number), the locator of its content (a hash of the raw text) and
+the number of arrivals. Partial aggregation runs before the shuffle, so a group that holds a third of
+all rows costs one state row per task.
 
 A digest hit is a claim, not a proof: the texts of all rows in groups of two or more are fetched by
-their locator and compared byte by byte with the kept text (salted, so that a large group spreads
-over tasks). Rows whose bytes differ are grouped again by their text.
+their locator (dealt over ``SALTS`` parts, so a large group spreads over tasks) and grouped by digest
+and whole bytes. A digest that stands for several texts is resolved by the texts themselves. Nothing
+but the stored arrivals depends on row numbers, so a source may be recomputed in another order.
 
 Defined cases: a null text is the empty text and all empty texts are equal. Ids may repeat or be
 null: the smallest non-null id stays, and of rows with one id and one text exactly one stays. An empty
@@ -25,9 +27,7 @@ from pyspark.sql import types as T
 from .text import one_space, text_of
 from .workspace import Workspace
 
-#: Rows of a group that one comparison task takes before the kept text is sent to a further one.
-ROWS_PER_SALT = 512
-#: Parts that the rows of one digest are dealt over when they meet their group.
+#: Parts that the rows of one digest or locator are dealt over when they meet their group.
 SALTS = 32
 
 STATE_CONF = {
@@ -62,11 +62,14 @@ class StreamingDeduplicator:
     def ingest(self, docs: DataFrame, number: int | None = None) -> None:
         """Feeds ``docs`` to the state. Repeating a number replaces an ingest that failed midway."""
         number = len(self.ingests) if number is None else number
-        rows = docs.select(F.col(self.id_col).alias("doc_id"), self.digest(self.normalise(self.text_col)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+        rows = docs.select(F.col(self.id_col).alias("doc_id"), self.digest(self.normalise(self.text_col)).alias("digest"), F.monotonically_increasing_id().alias("row"), self._locator().alias("locator"))
         rows.write.mode("overwrite").parquet(self.ws.path(f"arrivals/ingest={number}"))
         self.ingests[number] = docs
         self._advance(rows)
 
+    def _locator(self) -> Column:
+        return F.xxhash64(text_of(self.text_col))
+
     def _advance(self, rows: DataFrame) -> None:
         """Runs the stream over what has arrived since the last run."""
         spark, kept = self.spark, {k: self.spark.conf.get(k, None) for k in STATE_CONF}
@@ -95,7 +98,7 @@ class StreamingDeduplicator:
 
     def groups(self) -> DataFrame:
         """The state as of the last batch: digest, first entry and number of arrivals."""
-        schema = f"digest binary, first struct<no_id:boolean,doc_id:{self._id_type()},ingest:int,row:bigint>, n bigint, batch int"
+        schema = f"digest binary, first struct<no_id:boolean,doc_id:{self._id_type()},ingest:int,row:bigint,locator:bigint>, n bigint, batch int"
         table = self.spark.read.schema(schema).option("basePath", self.ws.path("groups")).parquet(self.ws.path("groups"))
         batches = [r[0] for r in table.select("batch").distinct().limit(2).collect()]
         if len(batches) < 2:
@@ -105,58 +108,49 @@ class StreamingDeduplicator:
     def _id_type(self) -> str:
         return dict(next(iter(self.ingests.values())).dtypes)[self.id_col]
 
-    def _differing(self, hits: DataFrame) -> DataFrame:
-        """Hits (ingest, row, doc_id, digest, first, n) whose bytes differ from the kept text's."""
-        texts = None
-        for docs in self.ingests.values():
-            part = docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text"))
-            texts = part if texts is None else texts.unionByName(part)
-        wanted = hits.select("doc_id", "digest", "n", F.col("first.doc_id").alias("keep_id")).distinct()
-        found = (
-            wanted.withColumnRenamed("doc_id", "hit_id")
-            .join(texts, F.col("hit_id").eqNullSafe(F.col("doc_id")))
-            .withColumn("body", self.normalise("text").cast("binary"))
-            .filter(self.digest(F.col("body").cast("string")) == F.col("digest"))
-            .select("doc_id", "digest", "n", "keep_id", "body")
-        )
-        found = self.ws.save(found, "hit-texts")
-        salts = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_SALT)).cast("int")
-        kept = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "keep_id", "n").agg(F.min("body").alias("kept_body")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        members = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.length("body")), salts).cast("int"))
-        other = members.join(kept.select("digest", "salt", "kept_body").hint("merge"), ["digest", "salt"]).filter(F.col("body") != F.col("kept_body"))
-        return other.select("doc_id", "digest", "body").distinct()
+    def _texts(self) -> DataFrame:
+        """doc_id, text, ingest of all arrivals."""
+        out = None
+        for number, docs in self.ingests.items():
+            part = docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text"), self._locator().alias("locator"), F.lit(number).alias("ingest"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _clashing(self, hits: DataFrame) -> DataFrame:
+        """The digests among the hits (locator) that stand for several texts, by whole bytes."""
+        wanted = hits.select("locator").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        texts = self._texts().withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        found = texts.join(wanted, ["locator", "salt"], "left_semi").select(self.normalise("text").cast("binary").alias("body"))
+        # rows of one text become one within each task, before the shuffle
+        bodies = found.groupBy("body").agg(F.count(F.lit(1)).alias("n")).select(self.digest(F.col("body").cast("string")).alias("digest"))
+        return bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
 
     def decisions(self) -> DataFrame:
         """One row per arrival: doc_id, keep_id, group_size, kept, digest, ingest, row."""
         groups = self.groups().filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         arrivals = self.arrivals().withColumn("salt", F.pmod(F.xxhash64("ingest", "row"), F.lit(SALTS)).cast("int"))
         rows = arrivals.join(groups.hint("merge"), ["digest", "salt"], "left").drop("salt")
-        differing = self.ws.save(self._differing(rows.filter("n > 1")), "differing")
+        clashing = self.ws.save(self._clashing(rows.filter("n > 1")), "clashing")
         alone = F.col("n").isNull()
         kept = alone | ((F.col("first.ingest") == F.col("ingest")) & (F.col("first.row") == F.col("row")))
         columns = ["doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", "ingest", "row"]
-        return rows.select(*columns) if differing.isEmpty() else self._regrouped(rows, differing, columns)
-
-    def _regrouped(self, rows: DataFrame, differing: DataFrame, columns: list) -> DataFrame:
-        """Some digests stand for several texts: those rows are grouped by digest and text.
-
-        A row of such a digest is known by (doc_id, digest) only, so its text is read again.
-        """
-        clashing = differing.select("digest").distinct()
-        texts = None
-        for number in self.ingests:
-            docs = self.ingests[number]
-            part = docs.select(F.col(self.id_col).alias("doc_id"), self.normalise(self.text_col).alias("body"), F.lit(number).alias("ingest"), F.monotonically_increasing_id().alias("row"))
-            texts = part if texts is None else texts.unionByName(part)
+        return rows.select(*columns) if clashing.isEmpty() else self._regrouped(rows, clashing, columns)
+
+    def _regrouped(self, rows: DataFrame, clashing: DataFrame, columns: list) -> DataFrame:
+        """Some digests stand for several texts: their rows are read again and grouped by digest and text,
+        with numbers of their own in place of the arrivals'."""
+        texts = self._texts().select("doc_id", self.normalise("text").alias("body"), "ingest", "locator")
         texts = texts.withColumn("digest", self.digest(F.col("body"))).join(clashing, "digest", "left_semi")
+        texts = self.ws.save(texts.withColumn("row", F.monotonically_increasing_id()), "clashing-texts")
         by_text = texts.groupBy("digest", "body").agg(F.min(_entry()).alias("first"), F.count(F.lit(1)).alias("n"))
-        apart = texts.join(by_text, ["digest", "body"])
+        by_text = by_text.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        apart = texts.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(by_text, ["digest", "body", "salt"])
         return rows.join(clashing, "digest", "left_anti").select(*columns).unionByName(apart.select(*columns))
 
 
 def _entry() -> Column:
     """Orders rows of a group: ids before null, then by id, then by place of arrival."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("ingest"), F.col("row"))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("ingest"), F.col("row"), F.col("locator"))
 
 
 def exact_decisions(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

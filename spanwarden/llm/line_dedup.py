@@ -14,6 +14,8 @@ where it stands again, if it holds ``LEAST_WORDS`` words or more.
   its first line to its last, so the extent is exact although no two places are ever paired: each
   later place meets the first one only, and a passage in a third of all documents costs a row for each.
 
+Windows run within a document, so the lines (hashes, not text) of one very long text are one task's work.
+
 Within one document a later place counts only where it doesn't overlap the first. Lines of no words
 count for nothing by themselves and go with a run around them.
 
@@ -65,7 +67,9 @@ def repeated_runs(ws: Workspace, rows: DataFrame, least: int = LEAST_WORDS) -> D
     marks = windows.select(*DOC, F.col("mark.line").alias("line"), F.col("mark.h1").alias("mark")).distinct()
     marks = ws.save(marks, "marks")
     again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("mark")
-    places = ws.save(marks.join(again, "mark", "left_semi").select(*DOC, "line", F.lit(1).alias("matched")), "places")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = marks.withColumn("salt", F.pmod(F.xxhash64("g", "h", "line"), F.lit(SALTS)).cast("int"))
+    places = ws.save(dealt.join(again.hint("merge"), ["mark", "salt"], "left_semi").select(*DOC, "line", F.lit(1).alias("matched")), "places")
 
     some = lines.join(places.select(*DOC).distinct(), DOC, "left_semi").join(places, [*DOC, "line"], "left")
     who = [*DOC, "doc_id"]

@@ -1,33 +1,34 @@
-"""Near-duplicate classes by LSH bands of MinHash signatures.
+"""Near-duplicate classes by an LSH forest of MinHash signatures.
 
 Sketch: each text's distinct shingles of five words become 64-bit hashes; ``SIGNATURE`` salted minima
 form its signature. Texts with one shingle set collapse to their smallest id at once.
 
-Bands: ``TREES`` trees, tree t reading the ``DEPTH`` minima of the signature from place 4t on. These are
-hashed and grouped by their hash; signatures are not sorted and no longer prefixes are compared. A region
-is the set of texts that share the minima of one tree, whatever their number.
+Forest: ``TREES`` sorted orders. Tree t orders all texts by the minima of their signatures from place
+4t on (``LONGEST`` of them, then the id); the orders are range-partitioned, so equal and similar
+signatures of any number spread over tasks. One pass over each sorted range takes the longest common
+prefix of neighbours. Texts whose neighbours have ``DEPTH`` minima in common form a region; a region
+of more than ``REGION`` texts is cut along its order into units, whose texts share longer prefixes, so
+the depth adapts to each region.
 
-Links are confirmed on full shingle sets, in rounds:
+Links are confirmed on full shingle sets, in rounds from deep to shallow prefixes:
 
-1. every text meets the first text with which it shares most regions; confirmed links give
-   components, which take in nearly all of a group of copies whatever its size;
-2. every region that still holds several components is resolved exactly: the common shingles of all
-   its texts are counted by products of incidence matrices, and each text is linked to the first text
-   that it reaches within the region. A region emits a row for each text at most, never its pairs.
-   Regions of more than ``REGION`` texts are dealt into slots by id, twice, which joins most of what
-   belongs together;
-3. in a region of more than ``REGION`` texts that still holds several components, each text outside
-   the largest component meets every text of the region: the texts of the largest and the others stand
-   in slots, and every two slots of which one is of the others are resolved as one block.
+1. every text meets the neighbour before it with which it shares the longest prefixes, summed over the
+   trees; confirmed links give components, which take in nearly all of a group of copies;
+2. every unit that still holds several components is resolved exactly: the common shingles of all its
+   texts are counted by products of incidence matrices, and each text is linked to the first text that
+   it reaches within the unit. A unit emits a row for each text at most, never its pairs;
+3. a region of several units that still holds several components is resolved exactly too: each text
+   outside the largest component meets every text of the region, in blocks of two slots of about
+   ``REGION`` texts.
 
 So any two texts that share a region are in one component or were compared. A pair at the threshold of
-0.75 shares the 4 minima of none of 32 trees with a chance of 5 in 1,000,000, which falls fast with
+0.75 shares the first 4 minima of none of 32 trees with a chance of 5 in 1,000,000, which falls fast with
 likeness. Components are distributed large-star/small-star rounds.
 
 Defined cases: words are what lies between white space after lower-casing A-Z; fewer than five words
 are one shingle; null or empty texts have no shingle and are linked with nothing. Repeated ids count
 as one document with each of their texts; null ids are never linked. An empty table gives an empty
-result. Other columns are ignored.
+result. Ids may be of any type that orders. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ from .workspace import Workspace
 SHINGLE = 5
 SIGNATURE = 128
 TREES = 32
-DEPTH = 4
+DEPTH, LONGEST = 4, 8
 REGION = 1024
+#: Parts that the rows of one region are dealt over when they meet what was found for it.
+SALTS = 8
 COLUMNS = 4096
 NUM, DEN = 75, 100
 
@@ -107,55 +111,106 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _prefix_keys(sig: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the tree and its first DEPTH minima, for rows of signatures."""
-    key = mix64(tree.astype(np.uint64) + np.uint64(1 << 20))
-    for k in range(DEPTH):
-        place = (tree * DEPTH + k) % SIGNATURE
-        key = mix64(key * _STEP + sig[np.arange(len(tree)), place])
-    return key.view(np.int64)
-
-
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
 
 
-def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, region for every text and tree."""
+def _order_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, place for every text and tree: the tree and LONGEST minima, as bytes that sort like numbers."""
+    width = 1 + 4 * LONGEST
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            n = part.num_rows
-            tree = np.repeat(np.arange(TREES), n)
-            sig = np.tile(_signatures(part.column("sig")), (TREES, 1))
-            ids = pa.concat_arrays([part.column("id")] * TREES)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_prefix_keys(sig, tree))], names=["id", "region"])
+            sig, n = _signatures(part.column("sig")), part.num_rows
+            rows = np.zeros((TREES, n, width), np.uint8)
+            for tree in range(TREES):
+                minima = sig[:, (tree * DEPTH + np.arange(LONGEST)) % SIGNATURE]
+                rows[tree, :, 0] = tree
+                rows[tree, :, 1:] = np.ascontiguousarray(minima.astype(">u4")).view(np.uint8).reshape(n, -1)
+            offsets = np.arange(0, (TREES * n + 1) * width, width, dtype=np.int32)
+            places = pa.BinaryArray.from_buffers(pa.binary(), TREES * n, [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([part.column("id")] * TREES), places], names=["id", "place"])
+
+
+def _places(column: pa.Array) -> np.ndarray:
+    width = 1 + 4 * LONGEST
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8)[at : at + len(column) * width].reshape(-1, width)
+
+
+def common_minima(places: np.ndarray) -> np.ndarray:
+    """How many leading minima each place has in common with the one before it; 0 in another tree."""
+    same = np.zeros(len(places), np.int32)
+    tree = places[1:, 0] == places[:-1, 0]
+    equal = (places[1:, 1:] == places[:-1, 1:]).reshape(-1, LONGEST, 4).all(axis=2)
+    same[1:] = np.where(tree, np.cumprod(equal, axis=1).sum(axis=1), 0)
+    return same
+
+
+def _region_keys(places: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the tree and the first DEPTH minima."""
+    key = mix64(places[:, 0].astype(np.uint64) + np.uint64(1 << 20))
+    minima = np.ascontiguousarray(places[:, 1:]).view(">u4").astype(np.uint64)
+    for k in range(DEPTH):
+        key = mix64(key * _STEP + minima[:, k])
+    return key.view(np.int64)
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of regions with two or more texts, with the region's size and first text."""
-    groups = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
-    return rows.join(groups, "region")
+def _pass(size: int):
+    """id, region, unit, before, common of a sorted range: the region that a text shares with a neighbour,
+    the unit of it, the neighbour before it and the minima in common. Texts without a neighbour go, but
+    for those at the ends of the range, whose neighbours may lie beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last = None  # id, place and position in its region of the row before
+        begun = None  # a row that has no neighbour so far
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids, places = batch.column("id"), _places(batch.column("place"))
+            common = common_minima(places if last is None else np.concatenate([last[1], places]))[-n:]
+            start, index = common < DEPTH, np.arange(n)
+            opened = np.maximum.accumulate(np.where(start, index, -1))
+            position = np.where(opened >= 0, index - opened, index + (0 if last is None else last[2] + 1))
+            region = _region_keys(places)
+            unit = mix64(region.view(np.uint64) + np.uint64(part) * _STEP + (position // size).astype(np.uint64)).view(np.int64)
+            before = pa.concat_arrays([pa.nulls(1, ids.type) if last is None else last[0], ids.slice(0, n - 1)])
+            shown = ~start | np.append(~start[1:], False)
+            shown[0] |= last is None
+            rows = pa.RecordBatch.from_arrays([ids, pa.array(region), pa.array(unit), before, pa.array(common.astype(np.int32))], names=["id", "region", "unit", "before", "common"])
+            if begun is not None and not start[0]:
+                yield begun
+            yield rows.filter(pa.array(shown))
+            begun = rows.slice(n - 1) if start[-1] and not shown[-1] else None
+            last = (ids.slice(n - 1), places[-1:], int(position[-1]))
+        if begun is not None:
+            yield begun
+
+    return run
+
+
+def neighbours(spark: SparkSession, reps: DataFrame) -> DataFrame:
+    """id, region, unit, before, common of all trees."""
+    kind = dict(reps.dtypes)["id"]
+    rows = reps.select("id", "sig").mapInArrow(_order_rows, f"id {kind}, place binary")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(n, "place", "id").sortWithinPartitions("place", "id")
+    return sorted_.mapInArrow(_pass(REGION), f"id {kind}, region long, unit long, before {kind}, common int")
 
 
-def regions(ws: Workspace, reps: DataFrame) -> DataFrame:
-    """id, region, first, compare: the regions of all trees and the first text of each. Regions of more
-    than REGION texts (compare is false) are resolved by ``blocks``; their texts stand again in slots that
-    they were dealt into, as their own first."""
-    kind = dict(reps.dtypes)["id"]
-    rows = ws.save(_sized(reps.select("id", "sig").mapInArrow(_region_rows, f"id {kind}, region long")), "regions-1")
-    out = rows.select("id", "region", "first", (F.col("size") <= REGION).alias("compare"))
-    slots = F.ceil(F.col("size") / REGION)
-    for deal in (3, 5):
-        slot = F.xxhash64("region", F.pmod(F.xxhash64("id", F.lit(deal)), slots), F.lit(deal))
-        out = out.unionByName(rows.filter(F.col("size") > REGION).select("id", slot.alias("region"), F.col("id").alias("first"), F.lit(True).alias("compare")))
-    return out
+def _salted(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a row for each of some keys; one key may be that of most rows."""
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
-def _several(labelled: DataFrame) -> DataFrame:
-    """The regions of several components; of regions with the same texts, as different trees give, one."""
-    groups = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    return groups.filter("lo != hi").groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region")
+def _several(labelled: DataFrame, key: str) -> DataFrame:
+    """The units or regions of several components; of those with the same texts, as different trees give, one."""
+    groups = labelled.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    return groups.filter("lo != hi").groupBy("size", "x", "y").agg(F.min(key).alias(key)).select(key)
 
 
 def blocks(labelled: DataFrame) -> DataFrame:
@@ -165,7 +220,7 @@ def blocks(labelled: DataFrame) -> DataFrame:
     half = max(1, REGION // 2)
     labels = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
     main = labels.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
-    rows = labelled.join(main, "region").withColumn("other", F.col("label") != F.col("main.label"))
+    rows = _salted(labelled, main, "region").withColumn("other", F.col("label") != F.col("main.label"))
     rows = rows.withColumn("k_main", F.ceil(F.col("main.n") / half)).withColumn("k_other", F.ceil((F.col("size") - F.col("main.n")) / half))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("other"), F.col("k_other")).otherwise(F.col("k_main"))))
     slot, block = F.col("slot"), lambda others, x, y: F.struct(F.lit(others).alias("others"), x.alias("x"), y.alias("y"))
@@ -245,29 +300,32 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = sketch.select(F.col("doc_id").alias("id"), "digest", F.col("n_shingles").alias("n"), "sig")
     # a class is an id and a digest; an id given to several texts may stand for several classes
     reps = ws.save(known.join(classes, ["id", "digest"]).dropDuplicates(["id", "digest"]), "reps")
-    near = ws.save(regions(ws, reps), "regions")
+    near = ws.save(neighbours(spark, reps), "neighbours")
 
     wanted = near.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(_shingle_rows, f"id {kind}, set binary")
     sets = ws.save(texts, "sets")
 
-    votes = near.filter("id != first").groupBy("first", "id").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("first")).alias("minus"))).alias("v"))
-    links = confirmed(ws, sets, best.select(F.col("id").alias("a"), (-F.col("v.minus")).alias("b")), "votes")
+    votes = near.filter(F.col("common") >= DEPTH).groupBy("before", "id").agg(F.sum("common").alias("votes"))
+    best = votes.groupBy("id").agg(F.max_by("before", F.struct("votes", "before")).alias("before"))
+    links = confirmed(ws, sets, best.select(F.col("id").alias("a"), F.col("before").alias("b")), "votes")
     found = ws.save(components(ws, links, "star-votes"), "components-votes")
     label = F.coalesce("label", "id").alias("label")
-    labelled = near.filter("compare").join(found, "id", "left").select("region", "id", label)
-    rows = labelled.join(_several(labelled), "region", "left_semi").select("region", "id").join(sets, "id")
-    rest = ws.save(rows.groupBy("region").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-regions")
+    labelled = near.join(found, "id", "left").select("unit", "id", label)
+    rows = labelled.join(_several(labelled, "unit"), "unit", "left_semi").select("unit", "id").join(sets, "id")
+    rest = ws.save(rows.groupBy("unit").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-units")
     links = links.unionByName(rest)
-    found = ws.save(components(ws, links, "star-regions"), "components-regions")
-    labelled = near.filter("not compare").join(found, "id", "left").select("region", "id", label)
-    large = ws.save(labelled.join(_several(labelled), "region", "left_semi"), "large")
+    found = ws.save(components(ws, links, "star-units"), "components-units")
+    labelled = near.join(found, "id", "left").select("region", "unit", "id", label)
+    # one row a unit decides which regions are more than one unit
+    units = labelled.groupBy("region", "unit").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select("region")
+    cut = ws.save(_salted(labelled, units, "region", "left_semi").drop("unit"), "cut")
+    large = ws.save(_salted(cut, _several(cut, "region"), "region", "left_semi"), "large")
     if not large.isEmpty():
         rows = blocks(large).hint("merge").join(sets, "id")
         rest = ws.save(rows.groupBy("region", "others", "x", "y").applyInArrow(_linked, f"a {kind}, b {kind}"), "links-blocks")
         found = ws.save(components(ws, links.unionByName(rest), "star-blocks"), "components-blocks")
-    ws.drop("sets", "regions", "regions-1")
+    ws.drop("sets", "neighbours", "cut")
 
     of_class = classes.join(found, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")

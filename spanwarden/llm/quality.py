@@ -15,7 +15,8 @@ softmax weights): scoring adds table entries and divides by the number of featur
 Arrow batches.
 
 Defined cases: null and empty texts have no features and score the bias alone; repeated rows score
-alike; a null id counts as the empty text in the held-out rule; without labels of both classes every
+alike; of rows with one id one text (the least) is learnt from; ids may be of any type; a null id counts
+as the empty text in the held-out rule; without labels of both classes every
 score is the share of class 1 (1.0 without any label).
 """
 
@@ -156,7 +157,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_train: i
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(max_train)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(picked), "key")  # 2 * max_train rows
-    rows = texts.mapInArrow(_counts, "key long, label int, buckets binary, counts binary")
+    # an id may stand for any number of rows; one text of each is taken, and copies go before the shuffle
+    texts = texts.groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(_counts, f"key {dict(docs.dtypes)['doc_id']}, label int, buckets binary, counts binary")
     # at most 2 * max_train rows meet in one task; the driver gets the model alone
     fitted = rows.repartition(1).mapInArrow(_trainer(shares), "bucket_table binary, bias double").first()
     return Model(np.frombuffer(bytes(fitted.bucket_table), np.float32), fitted.bias) if fitted else plain

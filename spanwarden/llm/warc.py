@@ -1,16 +1,16 @@
 """WARC archives: writing, normalising monolithic gzip and reading back.
 
 * ``write_archives`` writes records as whole-file gzip streams (one member for a whole archive, the
-  form that cannot be read at random), one archive per task. Payloads that an earlier record holds
+  form that cannot be read at random), named by the task's number. Payloads that an earlier record holds
   become ``revisit`` records without a payload.
 * ``normalise`` inflates each such stream once, from front to back, and rewrites every record as a
   gzip member of its own, with a sidecar index of offsets. Archives are independent tasks; memory holds
-  one record and one read buffer.
+  one record, one read buffer and a batch of index rows.
 * ``read_records`` reads records by (archive, offset, length) of the index, in any order or subset.
 
 Files go to the shared folder through the file system that the path's scheme names. Each is written
-under a name of the attempt and renamed when complete, so a lost or repeated task leaves one whole
-archive.
+under a name of the attempt and renamed when complete, in place of that of an earlier attempt, so a lost
+or repeated task leaves each of its archives once and whole.
 
 Defined cases: a null payload is empty; null ids are written as an empty id and read back as null;
 repeated ids are separate records; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ from .workspace import Workspace
 REVISIT_BYTES = 1000
 CHUNK = 1 << 20
 ARCHIVE_ROWS = 4000
+SALTS = 32
+#: Index rows or bytes of payload after which a batch of rows is handed on.
+BATCH_ROWS, BATCH_BYTES = 4096, 1 << 23
 #: Whole-file streams are read once, members are kept.
 STREAM_LEVEL, MEMBER_LEVEL = 1, 6
 VERSION = b"WARC/1.1"
@@ -94,6 +98,8 @@ class _Whole:
 
     def done(self) -> None:
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:  # of an earlier attempt
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
 
 
@@ -103,7 +109,10 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     small = pages.select("page_id", F.sha1(body).alias("digest"), F.length(body).alias("n")).filter(F.col("n") >= least).filter("page_id is not null")
     groups = small.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    return small.join(groups, ["digest", "n"]).filter("page_id != refers_to").select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to").distinct()
+    # one payload may be that of a third of all pages
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = small.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(groups.hint("merge"), ["digest", "n", "salt"]).filter("page_id != refers_to").select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to").distinct()
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, least: int = REVISIT_BYTES, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
@@ -114,11 +123,11 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, least:
     joined = rows.join(again, (F.col("page_id") == F.col("of")) & (F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")) == F.col("of_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, paths, counts = None, [], []
+        out, paths, counts, part = None, [], [], TaskContext.get().partitionId()
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
-                    paths.append(f"{folder}/{uuid.uuid4().hex}.warc.gz")
+                    paths.append(f"{folder}/{part:06d}-{len(paths):06d}.warc.gz")
                     counts.append(0)
                     out, deflate = _Whole(paths[-1]), zlib.compressobj(STREAM_LEVEL, zlib.DEFLATED, 31)
                 payload = (html.as_py() or "").encode()
@@ -182,6 +191,10 @@ def split_records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         yield head, whole
 
 
+def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["archive", "offset", "length", "record_id", "record_type"])
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites every archive with a gzip member per record and its sidecar ``.index`` (one line per
     record: offset, length, type, id). Returns the index rows."""
@@ -199,10 +212,13 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     rows.append((target, at, len(member), head["warc-record-id"], head["warc-type"]))
                     index.write(f"{at} {len(member)} {head['warc-type']} {head['warc-record-id']}\n".encode())
                     at += len(member)
+                    if len(rows) == BATCH_ROWS:
+                        yield _index_batch(rows)
+                        rows = []
                 out.done()
                 index.done()
-                names = ["archive", "offset", "length", "record_id", "record_type"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=names)
+                if rows:
+                    yield _index_batch(rows)
 
     return archives.select("archive").mapInArrow(run, INDEX_FIELDS)
 
@@ -212,14 +228,23 @@ def _page(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of
-    the indexed records, each fetched by its offset; digests of payloads are checked."""
+FIELDS = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+FIELD_TYPES = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read_records(index: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload (null for revisits and without ``payloads``), payload_bytes, payload_digest,
+    record_type, refers_to of the indexed records, each fetched by its offset; digests of payloads are
+    checked. Memory holds one record and about ``BATCH_BYTES`` of payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pa.NativeFile] = {}
+        out, held = {k: [] for k in FIELDS}, 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in FIELDS.items()], names=list(FIELDS))
+
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")}
             for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
                 if archive not in opened:
                     for f in opened.values():
@@ -236,15 +261,19 @@ def read_records(index: DataFrame) -> DataFrame:
                 revisit = head["warc-type"] == "revisit"
                 if not revisit and (hashlib.sha1(payload).digest() != digest or len(payload) != size):
                     raise ValueError(f"damaged payload in {archive} at {offset}")
-                values = (_page(head["warc-record-id"]), head["warc-target-uri"], None if revisit else payload, size, digest.hex(), head["warc-type"], _page(head.get("warc-refers-to")))
+                shown = payload if payloads and not revisit else None
+                values = (_page(head["warc-record-id"]), head["warc-target-uri"], shown, size, digest.hex(), head["warc-type"], _page(head.get("warc-refers-to")))
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+                held += len(shown or b"")
+                if held >= BATCH_BYTES or len(out["page_id"]) >= BATCH_ROWS:
+                    yield batch_of()
+                    out, held = {k: [] for k in FIELDS}, 0
+        yield batch_of()
         for f in opened.values():
             f.close()
 
-    return index.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return index.mapInArrow(run, FIELD_TYPES)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -255,4 +284,4 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     n = max(1, written.count())
     index = ws.save(normalise(written.repartition(n, "archive"), ws.path("normalised")), "index")
     ws.drop("monolithic")
-    return read_records(index).drop("payload")
+    return read_records(index, payloads=False).drop("payload")

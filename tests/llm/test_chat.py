@@ -81,3 +81,20 @@ def test_escape_is_reversible(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.windows(spark, spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_one_conversation_holds_most_turns_and_names_that_clash(spark):
+    """A conversation of many blocks, one very long turn, and columns named like those of the plan."""
+    rows = [(1, t, "system" if t == 0 else ("user", "assistant")[t % 2], f"turn {t} " + "w " * (t % 40)) for t in range(1500)]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", "long " * 60_000), (3, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("window", "block", "c", "s", "salt", "at"):
+        df = df.withColumn(name, F.lit("x"))
+    shown = chat.windows(spark, df)
+    got = {r.conv_id: r for r in chat.read_back(shown).collect()}
+    for conv in (1, 2, 3):
+        said = [(r[2], r[3] or "") for r in rows if r[0] == conv]
+        whole = "".join(f"{a}\n{b}\n" for a, b in said)
+        assert got[conv].n_turns == len(said) and got[conv].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+        assert got[conv].loss_chars == sum(len(b) for a, b in said if a == "assistant")
+    assert shown.filter("conv_id = 1 and not over_budget and instr(formatted, '<s>system') = 1").count() == shown.filter("conv_id = 1").count()

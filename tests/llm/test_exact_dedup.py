@@ -68,5 +68,27 @@ def test_deduplicate_keeps_whole_rows(spark):
     assert {r[0] for r in rows} == {3, 1, 7, 4}
 
 
+def test_many_rows_without_an_id_and_text_ids(spark):
+    """A third of all rows without an id, a third copies of one text: what is compared stays in proportion."""
+    rows = [(None, f"text {i % 400}") for i in range(800)] + [(f"c{i}", "one  text") for i in range(800)] + [(f"d{i}", f"own {i}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    dedup = exact_dedup.StreamingDeduplicator(spark)
+    dedup.ingest(docs)
+    out = dedup.decisions().collect()
+    assert len(out) == 2400 and sum(r.kept for r in out) == 400 + 1 + 800
+    assert {(r.keep_id, r.group_size) for r in out if r.doc_id is not None and r.doc_id.startswith("c")} == {("c0", 800)}
+    assert {r.group_size for r in out if r.doc_id is None} == {2}
+
+
+def test_a_source_that_comes_in_another_order(spark):
+    """Decisions rest on the stored arrivals, not on row numbers of a source that is read again."""
+    base = spark.createDataFrame(ROWS, SCHEMA)
+    docs = base.repartition(5, F.rand())
+    out = exact_dedup.exact_decisions(spark, docs, digest=lambda b: F.unhex(F.lit("00"))).collect()
+    want, _ = brute(ROWS)
+    assert len(out) == len(ROWS) and sum(r.kept for r in out) == len(want)
+    assert sorted({(r.keep_id, r.group_size) for r in out}) == sorted(want.values())
+
+
 def test_empty(spark):
     assert exact_dedup.exact_decisions(spark, spark.createDataFrame([], SCHEMA)).count() == 0

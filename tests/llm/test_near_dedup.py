@@ -84,6 +84,69 @@ def test_nulls_repeats_and_long_texts(spark):
     assert kept.columns == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == {None, 4, 6, 8}
 
 
+def test_forest_finds_all_that_share_a_prefix(spark, monkeypatch):
+    """Whatever the ranges: texts whose signatures share the first minima of a tree stand in one region, cut
+    into units of a bounded size; what stands alone in all trees is left out but at the ends of ranges."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (40, near_dedup.SIGNATURE), dtype=np.uint32)
+    sigs = []
+    for i in range(600):
+        sig = base[min(i % 60, 39)].copy()
+        changed = rng.random(near_dedup.SIGNATURE) < rng.choice([0.0, 0.1, 0.9])
+        sig[changed] = rng.integers(0, 1 << 32, changed.sum(), dtype=np.uint32)
+        sigs.append(sig)
+    reps = spark.createDataFrame([(f"t{i:03d}", bytearray(s.tobytes())) for i, s in enumerate(sigs)], "id string, sig binary")
+    rows = near_dedup.neighbours(spark, reps).collect()
+    regions, units = {}, {}
+    for r in rows:
+        regions.setdefault(r.region, set()).add(r.id)
+        units.setdefault((r.region, r.unit), set()).add(r.id)
+        if r.common >= near_dedup.DEPTH:
+            a, b = sigs[int(r.before[1:])], sigs[int(r.id[1:])]
+            assert any((a[t * 4 : t * 4 + 4] == b[t * 4 : t * 4 + 4]).all() for t in range(near_dedup.TREES))
+    want = {}
+    for i, s in enumerate(sigs):
+        for t in range(near_dedup.TREES):
+            want.setdefault((t, s[t * 4 : t * 4 + 4].tobytes()), set()).add(f"t{i:03d}")
+    want = {frozenset(v) for v in want.values() if len(v) > 1}
+    assert want == {frozenset(v) for v in regions.values() if len(v) > 1}
+    assert max(map(len, units.values())) <= 8
+    assert len([r for r in regions.values() if len(r) == 1]) <= 2 * 8 * near_dedup.TREES
+
+
+def test_a_region_of_many_unlinked_texts(spark, monkeypatch):
+    """One template in all texts, 0.6 to 0.7 alike, so that they share regions but no links; pairs of about 0.78
+    among them are all found, though the regions are many times larger than a unit."""
+    monkeypatch.setattr(near_dedup, "REGION", 64)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(240)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    rows = []
+    for i in range(300):
+        text = edited(base, 5)
+        rows.append((2 * i, " ".join(text)))
+        rows.append((2 * i + 1, " ".join(edited(text, rng.choice([5, 6])))))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 100
+    got = near_dedup.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_text_ids(spark):
+    rows = [("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "other words that stand alone here"), (None, "a b c d e f")]
+    got = near_dedup.near_classes(spark, spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {("a", "a", True), ("b", "a", False), ("c", "c", True), (None, None, True)}
+
+
 def test_empty(spark):
     assert near_dedup.near_classes(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

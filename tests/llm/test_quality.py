@@ -97,3 +97,18 @@ def test_scores_are_means_over_features():
     assert feats[1][0].tolist() == [1, 0]
     ids = np.concatenate([f[0] for f in feats])
     assert model.scores(pa.array([text]))[0] == np.float64(1 / (1 + np.exp(-model.table[ids].astype(float).mean())))
+
+
+def test_repeated_ids_and_text_ids(spark):
+    """An id on any number of rows gives one text to the fit."""
+    docs, labels, _ = corpus(3, 200)
+    d, lab = frames(spark, docs, labels)
+    as_text = lambda df: df.withColumn("doc_id", df.doc_id.cast("string"))
+    picked = next(i for i, *_ in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+    more = d.filter(d.doc_id == picked)
+    for _ in range(6):
+        more = more.unionByName(more)
+    model, again = quality.fit(spark, d, lab), quality.fit(spark, d.unionByName(more), lab)
+    assert np.array_equal(model.table, again.table)
+    texts = quality.fit(spark, as_text(d), as_text(lab))
+    assert quality.score(spark, as_text(d), texts).count() == len(docs)

@@ -71,5 +71,27 @@ def test_stream_of_many_members_and_small_reads(tmp_path):
     assert [w for _, w in warc.split_records(warc.inflated(str(path), 7))] == whole
 
 
+def test_a_repeated_task_leaves_its_archives_once(spark):
+    """Attempts of one task write the same names, so what a failed one left is taken over."""
+    ws = Workspace(spark, "warc-again")
+    pages = frame(spark).coalesce(1)
+    first = warc.write_archives(spark, pages, ws.path("mono"), archive_rows=4).collect()
+    again = warc.write_archives(spark, pages, ws.path("mono"), archive_rows=4).collect()
+    assert first == again
+    import os
+
+    left = sorted(f for f in os.listdir(ws.path("mono").removeprefix("file://")) if not f.startswith("."))
+    assert left == sorted(r.archive.rpartition("/")[2] for r in again)
+    index = ws.save(warc.normalise(ws.save(spark.createDataFrame(again), "written"), ws.path("normal")), "index")
+    bare = warc.read_records(index, payloads=False).collect()
+    assert len(bare) == len(ROWS) and all(r.payload is None for r in bare)
+
+
+def test_one_payload_in_most_pages(spark):
+    rows = [(i, "u", "same " * 300) for i in range(300)] + [(1000 + i, "u", f"own {i} " * 200) for i in range(20)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 320 and {r.refers_to for r in got if r.record_type == "revisit"} == {299} and sum(r.record_type == "response" for r in got) == 21
+
+
 def test_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], SCHEMA)).count() == 0
