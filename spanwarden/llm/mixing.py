@@ -43,13 +43,15 @@ ROUNDS, WALK = 4, 64
 def _network(x: Column, left: Column, right: Column, *key: Column) -> Column:
     """A bijection of numbers of left + right bits: halves in turn take the exclusive or of a hash of the other."""
     low, high = [F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1 for n in (right, left)]
-    a, b = F.call_function("shiftrightunsigned", x, right), x.bitwiseAND(low)
-    for k in range(ROUNDS):
-        if k % 2 == 0:
-            a = a.bitwiseXOR(F.xxhash64(b, *key, F.lit(k)).bitwiseAND(high))
-        else:
-            b = b.bitwiseXOR(F.xxhash64(a, *key, F.lit(k)).bitwiseAND(low))
-    return F.call_function("shiftleft", a, right).bitwiseOR(b)
+    halves = F.struct(F.call_function("shiftrightunsigned", x, right).alias("a"), x.bitwiseAND(low).alias("b"))
+
+    def half(acc: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        mixed = F.xxhash64(F.when(even, acc["b"]).otherwise(acc["a"]), *key, i)
+        a = F.when(even, acc["a"].bitwiseXOR(mixed.bitwiseAND(high))).otherwise(acc["a"])
+        return F.struct(a.alias("a"), F.when(even, acc["b"]).otherwise(acc["b"].bitwiseXOR(mixed.bitwiseAND(low))).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, half, lambda h: F.call_function("shiftleft", h["a"], right).bitwiseOR(h["b"]))
 
 
 def permuted(k: Column, n: Column, *key: Column) -> Column:
@@ -150,14 +152,16 @@ def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
     counts = ws.save(draws(s), "draws")
     slots = s.join(counts.hint("merge"), "source_no").repartition("source_no", "shard")
     slots = slots.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    slots = slots.withColumn("k", permuted(F.col("base") + F.col("i"), F.col("n_slots"), F.col("source_no"), F.lit(3)))
+    place = permuted(F.col("ahead") + F.col("i"), F.col("shard_size"), F.col("shard"), F.lit(5))
+    slots = slots.withColumn("k", permuted(F.col("base") + F.col("i"), F.col("n_slots"), F.col("source_no"), F.lit(3))).withColumn("place", place)
+    # stored, for the optimiser would copy one permutation into the next
+    slots = ws.save(slots.select("source_no", "shard", "place", "k", "passes", "blocks", "whole", "q", "rem"), "indexed")
     slots = slots.withColumn("pass", F.least(F.col("passes"), F.floor(F.col("k") / F.col("blocks"))).cast("long")).withColumn("r", F.col("k") - F.col("pass") * F.col("blocks"))
     last = (F.col("pass") == F.col("passes")) & (F.col("r") == F.col("q"))
     over = F.when(F.col("pass") < F.col("passes"), F.col("blocks")).otherwise(F.greatest(F.col("whole"), F.lit(1)))
     mapped = (F.col("pass") < F.col("passes")) | (F.col("r") < F.col("whole"))
     slots = slots.withColumn("over", over).withColumn("at", F.when(mapped, permuted(F.col("r"), F.col("over"), F.col("source_no"), F.col("pass"))).otherwise(F.col("whole")))
-    place = permuted(F.col("ahead") + F.col("i"), F.col("shard_size"), F.col("shard"), F.lit(5))
-    slots = slots.select("source_no", "pass", F.col("at").alias("block"), F.when(last, F.col("rem")).alias("words"), "shard", place.alias("place"))
+    slots = ws.save(slots.select("source_no", "pass", F.col("at").alias("block"), F.when(last, F.col("rem")).alias("words"), "shard", "place"), "slots")
 
     pieces = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("off"), F.col("block") * block)
