@@ -16,7 +16,8 @@ Likeness of two sets is their common part over their union, from the recovered d
 
 Defined cases: null texts are empty and have no paragraphs; two empty sets are alike (1.0). Every row is
 a document, rows that repeat an id too, and those of one id follow by a hash of their text. Ids are
-ordered with null last; the next of the last document is the first. An empty table gives an empty result.
+ordered with null last; the next of the last document is the first. Ids are whole numbers; others are
+refused. All rows of one id stand in one part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,11 +175,16 @@ def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
     a ghost, at the end of the part before it; that of the first part at the end of the last.
 
     Only limits between parts and one row a part are handled outside the parts."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("documents are ordered by doc_id, which has to be a whole number")
     n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = F.array(*(F.lit((k + 1) / n) for k in range(n - 1))) if n > 1 else F.array(F.lit(1.0))
     limits = docs.agg(F.percentile_approx("doc_id", steps, 20 * n).alias("q")).first().q or []
     limits = sorted(set(limits), reverse=True)
-    part = F.lit(len(limits) + 1)  # null ids are last
+    # null ids are last, by a hash of their text: as many parts as other ids of their number would have
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    spread = max(1, -(-total.nulls * n // max(1, total.n)))
+    part = F.lit(len(limits) + 1) + F.floor((F.xxhash64(F.coalesce("text", F.lit(""))) / F.lit(2.0**64) + 0.5) * spread).cast("int")
     found = F.size(F.filter(F.array(*(F.lit(x) for x in limits)), lambda x: x >= F.col("doc_id"))) if limits else F.lit(0)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.when(F.col("doc_id").isNull(), part).otherwise(found)).withColumn("h", F.xxhash64("text"))
     order = F.struct((F.col("doc_id").isNull()).alias("no_id"), (-F.col("doc_id")).alias("minus"), "h")

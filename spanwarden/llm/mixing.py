@@ -37,21 +37,24 @@ BLOCK = 256
 SLOTS_PER_SHARD = 4096
 SLOTS_PER_TASK = 16_384
 
-ROUNDS, WALK = 4, 64
+ROUNDS, SHORT_WALK, WALK = 4, 6, 64
 
 
-def _network(x: Column, left: Column, right: Column, *key: Column) -> Column:
-    """A bijection of numbers of left + right bits: halves in turn take the exclusive or of a hash of the other."""
-    low, high = [F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1 for n in (right, left)]
-    halves = F.struct(F.call_function("shiftrightunsigned", x, right).alias("a"), x.bitwiseAND(low).alias("b"))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _network(x: Column, s: Column, *key: Column) -> Column:
+    """A bijection of the numbers of s.l + s.r bits: halves in turn take the exclusive or of a hash of the other."""
+    halves = F.struct(F.call_function("shiftrightunsigned", x, s["r"]).alias("a"), x.bitwiseAND(s["low"]).alias("b"))
 
     def half(acc: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        mixed = F.xxhash64(F.when(even, acc["b"]).otherwise(acc["a"]), *key, i)
-        a = F.when(even, acc["a"].bitwiseXOR(mixed.bitwiseAND(high))).otherwise(acc["a"])
-        return F.struct(a.alias("a"), F.when(even, acc["b"]).otherwise(acc["b"].bitwiseXOR(mixed.bitwiseAND(low))).alias("b"))
+        left = F.struct(acc["a"].bitwiseXOR(F.xxhash64(acc["b"], *key, i).bitwiseAND(s["high"])).alias("a"), acc["b"].alias("b"))
+        right = F.struct(acc["a"].alias("a"), acc["b"].bitwiseXOR(F.xxhash64(acc["a"], *key, i).bitwiseAND(s["low"])).alias("b"))
+        return F.when(i % 2 == 0, left).otherwise(right)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, half, lambda h: F.call_function("shiftleft", h["a"], right).bitwiseOR(h["b"]))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, half, lambda h: F.call_function("shiftleft", h["a"], s["r"]).bitwiseOR(h["b"]))
 
 
 def permuted(k: Column, n: Column, *key: Column) -> Column:
@@ -60,14 +63,24 @@ def permuted(k: Column, n: Column, *key: Column) -> Column:
     The network permutes the numbers of as many bits as n - 1 has (2 at least); numbers of n or more walk
     on through it until they fall below n, which each step does with a chance of a half or more."""
     bits = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"))
-    shape = F.struct(k.cast("long").alias("x"), F.floor(bits / 2).cast("int").alias("l"), (bits - F.floor(bits / 2)).cast("int").alias("r"))
+    one = F.lit(1).cast("long")
+
+    def shape(x: Column) -> Column:
+        l, r = F.floor(x["bits"] / 2).cast("int"), (x["bits"] - F.floor(x["bits"] / 2)).cast("int")
+        masks = [(F.call_function("shiftleft", one, v) - 1).alias(name) for name, v in (("high", l), ("low", r))]
+        return F.struct(x["k"].alias("k"), x["n"].alias("n"), r.alias("r"), *masks)
+
+    def walk(x: Column, s: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda acc, _: F.when(acc < s["n"], acc).otherwise(_network(acc, s, *key)))
 
-    def step(acc: Column, i: Column) -> Column:
-        x = _network(acc["x"], acc["l"], acc["r"], *key)
-        return F.when((i > 0) & (acc["x"] < n), acc).otherwise(F.struct(x.alias("x"), acc["l"].alias("l"), acc["r"].alias("r")))
+    def place(s: Column) -> Column:
+        last = lambda x: F.when(x < s["n"], x).otherwise(F.raise_error(F.lit("a walk did not end")).cast("long"))
+        far = lambda x: F.when(x < s["n"], x).otherwise(_let(walk(x, s, WALK), last))
+        near = lambda x: F.when(x < s["n"], x).otherwise(_let(walk(x, s, SHORT_WALK), far))
+        return _let(_network(s["k"], s, *key), near)
 
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), shape, step)["x"]
-    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a walk did not end")).cast("long"))
+    given = F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"), bits.alias("bits"))
+    return _let(_let(given, shape), place)
 
 
 def sum_before(rows: DataFrame, key: str, chunk: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -12,7 +12,8 @@ of the capacity. Packing is bulk-synchronous best fit:
 
 Equal lengths are interchangeable and so are equal gaps, so supersteps work on runs (a length or a
 gap with a range of ranks or sequence numbers): at most ``capacity`` runs of lengths and of gaps
-whatever the number of documents, which is the only data that reaches the driver. The documents stay
+whatever the number of documents. They run in one task of an executor, for a corpus takes more than a
+thousand of them and as jobs of their own they would take longer than all else. The documents stay
 distributed; a length that a third of all pieces share is split by id in the range sort.
 
 Tokens come from a public tokenizer file whose path is a parameter. It drops white space and never
@@ -211,6 +212,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(placed, np.int64).reshape(-1, 6), opened, steps
 
 
+RUNS = ("length", "rank", "rank_end", "sequence", "each", "place")
+RUN_SCHEMA = ", ".join(f"{c} long" for c in RUNS)
+
+
+def _planner(capacity: int):
+    """The supersteps over all lengths (length, n), as the runs of ``plan``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        for batch in batches:
+            counts |= dict(zip(*(batch.column(c).to_pylist() for c in ("length", "n")), strict=True))
+        placed, _, _ = plan(dict(sorted(counts.items())), capacity)
+        yield pa.RecordBatch.from_arrays([pa.array(placed[:, k]) for k in range(len(RUNS))], names=list(RUNS))
+
+    return run
+
+
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ws = Workspace(spark, "packing")
@@ -219,15 +237,15 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     sorted_ = pieces.repartitionByRange(n, "length", "doc_id", "piece", "start", "ids_crc32").withColumn("part", F.spark_partition_id())
     sorted_ = ws.save(sorted_, "sorted")
     by_part = sorted_.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    rows = by_part.collect()  # a part holds a range of lengths: about as many rows as parts and lengths
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(rows, key=lambda r: (r.length, r.part)):
-        before[r.part, r.length] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r.n
-    placed, _, _ = plan(counts, capacity)
-    order = np.lexsort((placed[:, 1], placed[:, 0]))
-    shared = spark.sparkContext.broadcast((placed[order], before))  # runs, as bounded as the lengths
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = ws.save(by_part.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "by-part")
+    lengths = by_part.groupBy("length").agg(F.sum("n").alias("n"))  # at most ``capacity`` rows
+    placed = ws.save(lengths.repartition(1).mapInArrow(_planner(capacity), RUN_SCHEMA), "placed").toArrow()
+    table = np.stack([placed.column(c).to_numpy() for c in RUNS], axis=1).reshape(-1, len(RUNS))
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    # a part holds a range of lengths: about as many rows as parts and lengths
+    before = {(r.part, r.length): r.before for r in by_part.collect()}
+    shared = spark.sparkContext.broadcast((table, before))  # runs, as bounded as the lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = shared.value

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from spanwarden.llm import iblt
 from spanwarden.llm.workspace import Workspace
 
@@ -68,6 +70,17 @@ def test_peeling_recovers_the_differing_digests(spark):
         assert (sorted(got[k].only_a), sorted(got[k].only_b), got[k].n) == (a, b, len(a) + len(b))
 
 
+def test_many_rows_without_an_id(spark):
+    rows = [(i, f"line {i}\nshared\nmore {i % 7}") for i in range(60)] + [(None, f"text {i}\nshared") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts_ = iblt.in_order(spark, df).filter("doc_id is null and not ghost").groupBy("part").count().collect()
+    assert len(parts_) > 4
+    got = iblt.edited_pairs(spark, df).collect()
+    assert len(got) == len(rows) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    with pytest.raises(TypeError):
+        iblt.edited_pairs(spark, df.select(df.doc_id.cast("string"), "text"))
+
+
 def test_empty_and_alone(spark):
     assert iblt.edited_pairs(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
     alone = iblt.edited_pairs(spark, spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()

@@ -55,6 +55,33 @@ def test_plan_is_near_the_least(seed):
     assert opened <= max(least, large) * 1.1 + 1
 
 
+def sequential_best_fit(lengths, capacity=2048):
+    """Pieces from long to short, each into the smallest gap that holds it."""
+    import bisect
+
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        if k == len(gaps):
+            gap, opened = capacity, opened + 1
+        else:
+            gap = gaps.pop(k)
+        bisect.insort(gaps, gap - n)
+    return opened
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_against_sequential_best_fit(seed):
+    rng = random.Random(100 + seed)
+    centre, spread = rng.choice([(3, 1.5), (5, 1.0), (6, 0.6), (6.5, 0.3), (7, 0.5)])
+    lengths = [min(2048, max(1, int(rng.lognormvariate(centre, spread)))) for _ in range(rng.choice([30, 800, 6000]))]
+    counts = {}
+    for n in lengths:
+        counts[n] = counts.get(n, 0) + 1
+    _, opened, _ = packing.plan(counts)
+    assert opened <= 1.01 * sequential_best_fit(lengths) + 1
+
+
 def test_pack_against_the_tokenizer(spark):
     rng = random.Random(1)
     texts = [None, "", " \t\n", "x", "Straße ÀÉ don't 12 <|endoftext|> é", "word " * 5000, "a" * 3000, "\x0bodd\x1cspace\x85", *("w%d " % i * rng.randint(1, 700) for i in range(60))]

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanwarden.llm import packing, quality
@@ -84,3 +85,28 @@ def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1])
     assert tokenizer_file().endswith("word_bpe_49k.json")
+
+
+def test_null_ids_empty_texts_and_names_that_clash(spark, tmp_path):
+    """Rows without ids, texts or sources, repeated rows, and columns named like those of the plans."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "no id " * 30, None), (None, "no id " * 30, None), (7, None, "src1"), (7, "", "src1"), (9, " \n", None)], "doc_id long, text string, source string")
+    docs = given.unionByName(odd, allowMissingColumns=True)
+    for name in ("row", "h", "part", "digest", "locator", "id", "label", "score", "salt", "n"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, out, str(tmp_path))
+        assert after.columns == docs.columns, name
+        path = str(tmp_path / name.replace(" ", "-"))
+        after.write.parquet(path)
+        out = spark.read.parquet(path)
+    assert out.count() and gapless(corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect())
+
+
+def test_an_empty_table(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
