@@ -12,7 +12,9 @@ sketches that a few differ in each, and sketches that still fail are split by ei
 until none fails. A sketch fails or succeeds by itself, so work follows the size of the difference and
 no text, however long, is one large sketch.
 
-Likeness of two sets is their common part over their union, from the recovered difference.
+Likeness of two sets is their common part over their union, from the recovered difference. A fingerprint
+holds the first sketch and the digests that the larger ones are made of, so whoever has two fingerprints
+can repeat all of this.
 
 Defined cases: null texts are empty and have no paragraphs; two empty sets are alike (1.0). Every row is
 a document, rows that repeat an id too, and those of one id follow by a hash of their text. Ids are
@@ -124,9 +126,12 @@ def is_empty(cells: Column) -> Column:
     return ~F.exists(cells, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
 
 
-def as_text(cells: Column, size: Column) -> Column:
+def as_text(cells: Column, digests_: Column) -> Column:
+    """``size:cells:digests``: the first sketch, and in order the digests that larger sketches hold where it
+    doesn't peel, both in base64. Two such texts alone give the likeness of their documents."""
     hexed = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"].cast("long")), 8, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["c"]), 16, "0")))
-    return F.concat(size.cast("string"), F.lit(":"), F.base64(F.unhex(F.array_join(hexed, ""))))
+    held = F.transform(F.array_sort(digests_), lambda x: F.lpad(F.hex(x), 16, "0"))
+    return F.concat(F.size(digests_).cast("string"), *(part for x in (hexed, held) for part in (F.lit(":"), F.base64(F.unhex(F.array_join(x, ""))))))
 
 
 def differences(ws: Workspace, pairs: DataFrame, keys: list[str], recover: bool = True) -> DataFrame:
@@ -222,6 +227,6 @@ def edited_pairs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = sketched(sketched(out, "a", "sa"), "e", "se")
     size_a, size_e = F.size("a"), F.size("e")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sa"), size_a).alias("fingerprint"), as_text(F.col("se"), size_e).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sa"), F.col("a")).alias("fingerprint"), as_text(F.col("se"), F.col("e")).alias("edited_fingerprint"),
         likeness(size_a, size_e, F.col("n_edited")).alias("near_edited"), likeness(size_a, F.col("next_size"), F.col("n_next")).alias("near_next"),
     )

@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import re
+import struct
 
 import pytest
 
@@ -57,6 +59,38 @@ def test_against_brute_force(spark):
     assert len({next(iter(f)) for f in by_text.values()}) == len({frozenset(parts(t)) for t in by_text})
 
 
+def decoded(text):
+    """size, cells (n, x, c) and the set of digests of a fingerprint."""
+    size, cells, held = text.split(":")
+    raw = base64.b64decode(cells)
+    assert len(raw) == 20 * iblt.CELLS
+    rows = [struct.unpack(">iqq", raw[k : k + 20]) for k in range(0, len(raw), 20)]
+    data = base64.b64decode(held)
+    digests = {struct.unpack(">q", data[k : k + 8])[0] for k in range(0, len(data), 8)}
+    assert len(digests) == int(size)
+    return rows, digests
+
+
+def test_likeness_follows_from_the_two_texts_alone(spark):
+    rows = sorted({r[0]: r for r in corpus() if r[0] is not None}.values(), reverse=True)
+    got = {r.doc_id: r for r in iblt.edited_pairs(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    small = 0
+    for i, (d, _) in enumerate(rows):
+        cells, own = decoded(got[d].fingerprint)
+        edited_cells, edited = decoded(got[d].edited_fingerprint)
+        _, after = decoded(got[rows[(i + 1) % len(rows)][0]].fingerprint)
+        assert round(like(own, edited), 9) == round(got[d].near_edited, 9) and round(like(own, after), 9) == round(got[d].near_next, 9)
+        # what differs stands alone in cells of the subtracted sketches, where it is little
+        apart = [(p[0] - q[0], p[1] ^ q[1]) for p, q in zip(cells, edited_cells, strict=True)]
+        for t in range(iblt.TABLES):
+            part = apart[t * iblt.SLOTS : (t + 1) * iblt.SLOTS]
+            assert sum(n for n, _ in part) == len(own) - len(edited)
+        if len(own ^ edited) == 1:
+            small += 1
+            assert [x for n, x in apart if n] == [next(iter(own ^ edited))] * iblt.TABLES
+    assert small
+
+
 def test_peeling_recovers_the_differing_digests(spark):
     rng = random.Random(4)
     rows = []
