@@ -123,11 +123,12 @@ class Mix:
     spans: DataFrame
 
 
-def draws(sources: DataFrame) -> DataFrame:
+def draws(sources: DataFrame, n_parts: int) -> DataFrame:
     """source_no, shard, n, base (the source's slots in the shards before), ahead (slots of the sources before
     in the shard), shard_size: a multinomial draw for each source, every slot falling into a shard by a
     hash of its number."""
-    runs = sources.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_TASK)))).repartition("source_no", "run")
+    runs = sources.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_TASK))))
+    runs = runs.repartition(n_parts, "source_no", "run")
     k = F.sequence(F.col("run") * SLOTS_PER_TASK, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOTS_PER_TASK) - 1)
     each = runs.select("source_no", "shards", F.explode(k).alias("k")).withColumn("shard", F.pmod(F.xxhash64("source_no", "k", F.lit(5)), F.col("shards")))
     counts = each.groupBy("source_no", "shard", "shards").agg(F.count(F.lit(1)).alias("n"))
@@ -162,8 +163,10 @@ def mix(ws: Workspace, sizes: DataFrame, block: int = BLOCK) -> Mix:
     every = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("shards", F.ceil(F.sum("n_slots").over(every) / SLOTS_PER_SHARD))
     s = ws.save(s.filter("n_slots > 0"), "sources")
-    counts = ws.save(draws(s), "draws")
-    slots = s.join(counts.hint("merge"), "source_no").repartition("source_no", "shard")
+    # a few rows become many: by a given number of parts, for the few alone would be put into one task
+    n_parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = ws.save(draws(s, n_parts), "draws")
+    slots = s.join(counts.hint("merge"), "source_no").repartition(n_parts, "source_no", "shard")
     slots = slots.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     place = permuted(F.col("ahead") + F.col("i"), F.col("shard_size"), F.col("shard"), F.lit(5))
     slots = slots.withColumn("k", permuted(F.col("base") + F.col("i"), F.col("n_slots"), F.col("source_no"), F.lit(3))).withColumn("place", place)
