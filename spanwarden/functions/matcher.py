@@ -39,6 +39,7 @@ class Matcher:
         self.anchors = [re.compile(anchor(r).encode()) for r in self.rules]
         self.groups = [r.group for r in self.rules]
         self.longest = {k: RuleSet(self.rules).longest(k) for k in ("digit", "iban")}
+        self.words = [[w.encode().lower() for w in r.keywords if w] for r in self.rules]
         self.keywords = sorted({k.encode().lower() for r in self.rules if r.kind == "literal" for k in r.keywords if k})
 
     def confirm(self, k: int, text: bytes, start: int, base: int = 0) -> Finding | None:
@@ -57,7 +58,10 @@ class Matcher:
     def find(self, text: bytes) -> list[Finding]:
         """All findings of a text, by start, end and rule."""
         found = {}
-        for k in range(len(self.rules)):
+        low = text.lower()
+        for k, rule in enumerate(self.rules):
+            if rule.kind == "literal" and not any(w in low for w in self.words[k]):
+                continue
             for a in self.anchors[k].finditer(text):
                 f = self.confirm(k, text, a.start())
                 if f:

@@ -7,8 +7,10 @@ are reported as unscanned.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 CHAT, RESPONSES, MESSAGES = "openai_chat_completions", "openai_responses", "anthropic_messages"
@@ -59,17 +61,48 @@ class PayloadError(ValueError):
     """A body that isn't the JSON its path promises. Holds a place, never a value."""
 
 
-class Map:
-    """Raw (start, end) of each byte of a text: either one span of equal length, or explicit."""
+class Spans(Sequence):
+    """Raw (start, end) of each byte of a text, kept as pieces: bytes that stand for themselves, or all bytes
+    of one escape."""
 
-    __slots__ = ("spans",)
+    __slots__ = ("first", "n", "raw", "size")
 
-    def __init__(self, spans: list[tuple[int, int]]):
-        self.spans = spans
+    def __init__(self):
+        self.n, self.first, self.raw, self.size = 0, [], [], []
+
+    def add(self, raw: int, n: int, size: int = 0) -> None:
+        """n more bytes at raw: each its own, or with ``size`` all of them an escape of so many bytes."""
+        if n:
+            self.first.append(self.n)
+            self.raw.append(raw)
+            self.size.append(size)
+            self.n += n
 
     @classmethod
-    def plain(cls, start: int, n: int) -> Map:
-        return cls([(i, i + 1) for i in range(start, start + n)])
+    def plain(cls, start: int, n: int) -> Spans:
+        out = cls()
+        out.add(start, n)
+        return out
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        i += self.n if i < 0 else 0
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        k = bisect.bisect_right(self.first, i) - 1
+        if self.size[k]:
+            return self.raw[k], self.raw[k] + self.size[k]
+        at = self.raw[k] + i - self.first[k]
+        return at, at + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        for first, stop, raw, size in zip(self.first, [*self.first[1:], self.n], self.raw, self.size, strict=True):
+            if size:
+                yield from [(raw, raw + size)] * (stop - first)
+            else:
+                yield from ((x, x + 1) for x in range(raw, raw + stop - first))
 
 
 @dataclass
@@ -78,7 +111,7 @@ class Node:
     start: int
     end: int
     text: bytes = b""
-    spans: list[tuple[int, int]] = field(default_factory=list)
+    spans: Sequence[tuple[int, int]] = ()
     members: list[tuple[str, Node]] = field(default_factory=list)
     items: list[Node] = field(default_factory=list)
 
@@ -132,11 +165,11 @@ def _value(b: bytes, at: int, lenient: bool) -> tuple[Node, int]:
     end = _SCALAR.match(b, at).end()
     if c in (b"t", b"f", b"n"):
         return Node("literal", at, end), end
-    return Node("number", at, end, b[at:end], Map.plain(at, end - at).spans), end
+    return Node("number", at, end, b[at:end], Spans.plain(at, end - at)), end
 
 
 def _string(b: bytes, at: int, lenient: bool) -> tuple[Node, int]:
-    out, spans, i = bytearray(), [], at + 1
+    out, spans, i = bytearray(), Spans(), at + 1
     while b[i] != 0x22:
         if b[i] != 0x5C:
             end = _PLAIN.match(b, i).end()
@@ -144,12 +177,12 @@ def _string(b: bytes, at: int, lenient: bool) -> tuple[Node, int]:
             try:
                 piece.decode()
                 out += piece
-                spans += Map.plain(i, end - i).spans
+                spans.add(i, end - i)
             except UnicodeDecodeError:  # what isn't UTF-8 reads as the replacement character
                 for ch in _replaced(piece):
                     size, enc = ch
                     out += enc
-                    spans += Map.plain(i, size).spans if size == len(enc) and enc == b[i : i + size] else [(i, i + size)] * len(enc)
+                    spans.add(i, len(enc), 0 if enc == b[i : i + size] else size)
                     i += size
             i = end
             continue
@@ -169,7 +202,7 @@ def _string(b: bytes, at: int, lenient: bool) -> tuple[Node, int]:
         else:
             raise PayloadError(f"escape at byte {i}")
         out += enc
-        spans += [(i, i + size)] * len(enc)
+        spans.add(i, len(enc), size)
         i += size
     return Node("string", at, i + 1, bytes(out), spans), i + 1
 
@@ -197,7 +230,7 @@ class Unit:
     text: bytes
     raw: tuple[int, int]
     content: tuple[int, int]
-    spans: tuple[tuple[int, int], ...]
+    spans: Sequence[tuple[int, int]]
 
     def raw_span(self, start: int, end: int) -> tuple[int, int] | None:
         """Where a span of the text lies in the body."""
@@ -243,7 +276,7 @@ class Extractor:
     def put(self, kind: str, path: str, node: Node, outer: Node | None = None) -> None:
         if not node.text:
             return
-        raw, content, spans = (node.start, node.end), node.inner, tuple(node.spans)
+        raw, content, spans = (node.start, node.end), node.inner, node.spans
         if outer is not None:
             raw, content, spans = _within(outer, raw, content, spans)
         self.units.setdefault((path, *raw), Unit(path, kind, node.text, raw, content, spans))
@@ -394,7 +427,7 @@ class Extractor:
                     self.text("document_source", dp, data)
 
 
-def _within(outer: Node, raw: tuple[int, int], content: tuple[int, int], spans: tuple) -> tuple:
+def _within(outer: Node, raw: tuple[int, int], content: tuple[int, int], spans: Sequence) -> tuple:
     """Spans of a text inside a string, in bytes of the body."""
     at = outer.spans
 
