@@ -145,3 +145,32 @@ def test_stateful_guard_over_restarts(spark, tmp_path):
     assert collected(got.collect()) == direct(rows, MASK)
     lines = [json.loads(r.value) for r in guard.ledger_rows(got).collect()]
     assert len(lines) == 12 and all(x["ts"].endswith("Z") and x["body_sha256"] == "" for x in lines)
+
+
+def test_idle_streams_are_closed(spark, tmp_path):
+    """A stream whose end never comes is closed after some time, as by its last frame, and its state goes."""
+    import time
+
+    rows = [("a", 0, CHAT, "api", "m", bytearray(chunk(CHAT, "card 4111 1111 ")), False), ("a", 1, CHAT, "api", "m", bytearray(chunk(CHAT, "1111 1111")), False), ("b", 0, CHAT, "api", "m", bytearray(chunk(CHAT, "whole")), True)]
+    src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
+    spark.createDataFrame(rows, guard.FRAME).coalesce(1).write.parquet(src)
+    stream = guard.guard_stream(spark.readStream.schema(guard.FRAME).parquet(src), MASK, idle_ms=500)
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            done = [r for r in spark.read.schema(guard.OUT).parquet(sink).collect() if r.ledger] if (tmp_path / "sink").exists() else []
+            if len(done) == 2 and query.lastProgress and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+    finally:
+        query.stop()
+    got = collected(spark.read.parquet(sink).collect())
+    assert json.loads(got["a"][1])["verdict"] == "masked" and b"4111" not in got["a"][0] and json.loads(got["b"][1])["verdict"] == "forwarded"
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_memory_of_a_long_stream_is_bounded():
+    g = guard.StreamGuard(Matcher(SHIPPED), MASK, "r", CHAT, "api")
+    for i in range(400):
+        g.event(chunk(CHAT, f"line {i} card 4111 1111 1111 1111 and prose that goes on. " + "x" * 80))
+    assert len(g.spans) < 5 and len(g.pending) < 5 and len(g.scan.seen) < 10 and len(g.scan.tail) < 400 and g.masked
