@@ -64,8 +64,11 @@ def serve(spark: SparkSession, args) -> int:
     --ledger, else to the policy's logger.output; stdout prints it."""
     config = load_config(args.config)
     run = args.run_name or hashlib.sha256(args.crossings.encode()).hexdigest()[:12]
-    path = f"{args.out.rstrip('/')}/run={run}"
-    crossings.serve(spark.read.parquet(args.crossings), config, startup_rules(config, args.rules)).write.mode("overwrite").parquet(path)
+    path, rules = f"{args.out.rstrip('/')}/run={run}", startup_rules(config, args.rules)
+    given = spark.read.parquet(args.crossings)
+    crossings.serve_requests(given, config, rules).drop("direction").write.mode("overwrite").parquet(f"{path}/direction=request")
+    asked = spark.read.parquet(f"{path}/direction=request")
+    crossings.serve_responses(given, asked, config, rules).drop("direction").write.mode("overwrite").parquet(f"{path}/direction=response")
     entries = crossings.evidence(spark.read.parquet(path))
     target = args.ledger or config.output
     if target == "stdout":

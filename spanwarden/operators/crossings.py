@@ -94,7 +94,7 @@ def scan_requests(crossings: DataFrame, rules: Sequence[Rule] = SHIPPED, lenient
             rows = [_request_scan(matcher, p or "", bytes(b) if b is not None else b"", lenient) for p, b in zip(paths, bodies, strict=True)]
             yield pd.DataFrame(rows, columns=["findings", "unscanned_fields", "error"])
 
-    return crossings.withColumn("__s", run("path", "body")).select("*", "__s.findings", "__s.unscanned_fields", "__s.error").drop("__s")
+    return crossings.withColumn("__s", run.asNondeterministic()("path", "body")).select("*", "__s.findings", "__s.unscanned_fields", "__s.error").drop("__s")
 
 
 def scan_responses(crossings: DataFrame, rules: Sequence[Rule] = SHIPPED) -> DataFrame:
@@ -118,25 +118,22 @@ def host_of(upstreams: dict[str, str], name: Column) -> Column:
     return F.coalesce(*(F.when(name == k, F.lit(h)) for k, h in hosts), F.lit(None).cast("string"))
 
 
-def routed(crossings: DataFrame, config: Config) -> DataFrame:
+def routed(requests: DataFrame, config: Config) -> DataFrame:
     """Requests with model (of the body), dest (host of the upstream) and path (at the upstream) filled in, and
-    the error ``unknown_upstream`` where no route is found; responses take those of their request. Rows that
-    name a destination have been routed already and stay as they are."""
+    the error ``unknown_upstream`` where no route is found. Rows that name a destination have been routed
+    already and stay as they are."""
     for name in ("dest", "model"):
-        if name not in crossings.columns:
-            crossings = crossings.withColumn(name, F.lit(None).cast("string"))
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast("string"))
     open_ = F.col("dest").isNull() | (F.col("dest") == "")
-    requests = crossings.filter("direction = 'request'")
     model = F.when(F.coalesce("model", F.lit("")) != "", F.col("model")).otherwise(extract_model(F.col("body")))
     asked = route(requests.withColumn("model", model), config.upstreams)
     lost = open_ & F.col("upstream").isNull()
-    asked = asked.withColumn("route_error", F.when(lost, F.concat(F.lit("unknown_upstream: no route for path="), F.coalesce("path", F.lit("")))))
-    asked = asked.withColumn("path", F.when(open_ & ~lost, F.col("upstream_path")).otherwise(F.col("path"))).withColumn("dest", F.when(open_, F.coalesce(host_of(config.upstreams, F.col("upstream")), F.lit(""))).otherwise(F.col("dest")))
-    asked = asked.drop("upstream", "upstream_path")
-    of = asked.select("req_id", F.col("dest").alias("q_dest"), F.col("model").alias("q_model"), F.col("path").alias("q_path")).dropDuplicates(["req_id"])
-    answers = crossings.filter("direction = 'response'").join(of, "req_id", "left")
-    answers = answers.withColumn("path", F.when(open_, F.coalesce("q_path", "path")).otherwise(F.col("path"))).withColumn("model", F.coalesce(F.when(F.col("model") != "", F.col("model")), "q_model", F.lit(""))).withColumn("dest", F.when(open_, F.coalesce("q_dest", F.lit(""))).otherwise(F.col("dest")))
-    return asked.unionByName(answers.withColumn("route_error", F.lit(None).cast("string")).select(*asked.columns))
+    return asked.withColumns({
+        "route_error": F.when(lost, F.concat(F.lit("unknown_upstream: no route for path="), F.coalesce("path", F.lit("")))),
+        "path": F.when(open_ & ~lost, F.col("upstream_path")).otherwise(F.col("path")),
+        "dest": F.when(open_, F.coalesce(host_of(config.upstreams, F.col("upstream")), F.lit(""))).otherwise(F.col("dest")),
+    }).drop("upstream", "upstream_path")
 
 
 def scan_streams(responses: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED) -> DataFrame:
@@ -158,20 +155,44 @@ def scan_streams(responses: DataFrame, config: Config, rules: Sequence[Rule] = S
     return joined.withColumn("forwarded_body", F.coalesce("forwarded_body", "body")).withColumn("block_body", F.lit(None).cast("string")).drop("e")
 
 
-def serve(crossings: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED, lenient: bool = False) -> DataFrame:
-    """Crossings as a gateway treats them: routed, scanned and decided, responses that are event streams through
-    the stream guard. Adds ``streamed``; rows that no route takes have the verdict error. Responses of
-    requests that were blocked or failed are left out."""
-    rows = routed(crossings, config)
-    kind = F.col("content_type") if "content_type" in rows.columns else F.lit(None).cast("string")
-    rows = rows.withColumn("streamed", (F.col("direction") == "response") & F.coalesce(is_event_stream(kind), F.lit(False)))
-    plain = process(rows.filter("not streamed"), config, rules, lenient)
+_SUMMARY = "array<struct<class:string,count:int,action:string>>"
+
+
+def serve_requests(crossings: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED, lenient: bool = False) -> DataFrame:
+    """The requests among the crossings, routed, scanned and decided; without a route the verdict is error."""
+    rows = routed(crossings.filter("direction = 'request'"), config).withColumn("streamed", F.lit(False))
+    done = process(rows, config, rules, lenient)
     lost = F.col("route_error").isNotNull()
-    plain = plain.withColumn("error", F.coalesce("route_error", "error")).withColumn("verdict", F.when(lost, "error").otherwise(F.col("verdict")))
-    empty = F.array().cast("array<struct<class:string,count:int,action:string>>")
-    plain = plain.withColumn("forwarded_body", F.when(~lost, F.col("forwarded_body"))).withColumn("block_body", F.when(~lost, F.col("block_body"))).withColumn("summary", F.when(lost, empty).otherwise(F.col("summary")))
-    streams = scan_streams(rows.filter("streamed"), config, rules)
-    return drop_responses_of_blocked(plain.unionByName(streams).drop("route_error"))
+    out = {"error": F.coalesce("route_error", "error"), "verdict": F.when(lost, "error").otherwise(F.col("verdict")), "summary": F.when(lost, F.array().cast(_SUMMARY)).otherwise(F.col("summary"))}
+    out |= {c: F.when(~lost, F.col(c)) for c in ("forwarded_body", "block_body")}
+    return done.withColumns(out).drop("route_error")
+
+
+def serve_responses(crossings: DataFrame, requests: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED) -> DataFrame:
+    """The responses among the crossings, those that are event streams through the stream guard. Path, dest and
+    model are those of their request where they name none; responses to requests that were blocked or failed
+    are left out before they are scanned. ``requests`` are results of ``serve_requests``."""
+    of = requests.groupBy("req_id").agg(F.bool_or(F.col("verdict").isin("blocked", "error")).alias("q_stopped"), *(F.min(c).alias(f"q_{c}") for c in ("path", "dest", "model")))
+    rows = crossings.filter("direction = 'response'")
+    for name in ("dest", "model"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    rows = rows.join(of, "req_id", "left").filter(~F.coalesce("q_stopped", F.lit(False)))
+    open_ = F.col("dest").isNull() | (F.col("dest") == "")
+    kind = F.col("content_type") if "content_type" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({
+        "path": F.when(open_, F.coalesce("q_path", "path")).otherwise(F.col("path")), "model": F.coalesce(F.when(F.col("model") != "", F.col("model")), "q_model", F.lit("")),
+        "dest": F.when(open_, F.coalesce("q_dest", F.lit(""))).otherwise(F.col("dest")), "streamed": F.coalesce(is_event_stream(kind), F.lit(False)),
+    }).drop("q_stopped", "q_path", "q_dest", "q_model")
+    plain = process(rows.filter("not streamed"), config, rules)
+    return plain.unionByName(scan_streams(rows.filter("streamed"), config, rules))
+
+
+def serve(crossings: DataFrame, config: Config, rules: Sequence[Rule] = SHIPPED, lenient: bool = False) -> DataFrame:
+    """Crossings as a gateway treats them. The requests are planned twice, for responses depend on them: the
+    command line writes them in between."""
+    requests = serve_requests(crossings, config, rules, lenient)
+    return requests.unionByName(serve_responses(crossings, requests, config, rules))
 
 
 # Header names that hold for one hop alone.
