@@ -12,8 +12,8 @@ the depth adapts to each region.
 
 Links are confirmed on full shingle sets, in rounds from deep to shallow prefixes:
 
-1. every text meets the neighbour before it with which it shares the longest prefixes, summed over the
-   trees; confirmed links give components, which take in nearly all of a group of copies;
+1. every text meets the neighbour (the first of those with its longest common prefix) with which it
+   shares the longest prefixes, summed over the trees; confirmed links give components, which take in nearly all of a group of copies;
 2. every unit that still holds several components is resolved exactly: the common shingles of all its
    texts are counted by products of incidence matrices, and each text is linked to the first text that
    it reaches within the unit. A unit emits a row for each text at most, never its pairs;
@@ -159,25 +159,35 @@ def _region_keys(places: np.ndarray) -> np.ndarray:
 
 def _pass(size: int):
     """id, region, unit, before, common of a sorted range: the region that a text shares with a neighbour,
-    the unit of it, the neighbour before it and the minima in common. Texts without a neighbour go, but
-    for those at the ends of the range, whose neighbours may lie beyond."""
+    the unit of it, the first of the texts before it that have its longest common prefix, and the minima in
+    it (all these are neighbours of one prefix; with the first of them links make stars, not chains). Texts
+    without a neighbour go, but for those at the ends of the range, whose neighbours may lie beyond."""
+    depths = range(DEPTH, LONGEST + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last = None  # id, place and position in its region of the row before
+        last = None  # place and position in its region of the row before
         begun = None  # a row that has no neighbour so far
+        heads = None  # for each depth the id of the text that began the run of that many minima in common
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             ids, places = batch.column("id"), _places(batch.column("place"))
-            common = common_minima(places if last is None else np.concatenate([last[1], places]))[-n:]
+            common = common_minima(places if last is None else np.concatenate([last[0], places]))[-n:]
             start, index = common < DEPTH, np.arange(n)
             opened = np.maximum.accumulate(np.where(start, index, -1))
-            position = np.where(opened >= 0, index - opened, index + (0 if last is None else last[2] + 1))
+            position = np.where(opened >= 0, index - opened, index + (0 if last is None else last[1] + 1))
             region = _region_keys(places)
             unit = mix64(region.view(np.uint64) + np.uint64(part) * _STEP + (position // size).astype(np.uint64)).view(np.int64)
-            before = pa.concat_arrays([pa.nulls(1, ids.type) if last is None else last[0], ids.slice(0, n - 1)])
+            known = pa.concat_arrays([pa.nulls(len(depths), ids.type) if heads is None else heads, ids])
+            source = np.zeros((len(depths), n), np.int64)
+            for row, depth in enumerate(depths):
+                run_start = np.maximum.accumulate(np.where(common < depth, index, -1))
+                source[row] = np.where(run_start >= 0, run_start + len(depths), row)
+            of = source[np.clip(common - DEPTH, 0, None), index]
+            before = known.take(pa.array(np.where(start, 0, of), mask=start))
+            heads = known.take(pa.array(source[:, -1]))
             shown = ~start | np.append(~start[1:], False)
             shown[0] |= last is None
             rows = pa.RecordBatch.from_arrays([ids, pa.array(region), pa.array(unit), before, pa.array(common.astype(np.int32))], names=["id", "region", "unit", "before", "common"])
@@ -185,7 +195,7 @@ def _pass(size: int):
                 yield begun
             yield rows.filter(pa.array(shown))
             begun = rows.slice(n - 1) if start[-1] and not shown[-1] else None
-            last = (ids.slice(n - 1), places[-1:], int(position[-1]))
+            last = (places[-1:], int(position[-1]))
         if begun is not None:
             yield begun
 
