@@ -60,7 +60,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([source.read()], pa.binary())], names=["path", "content"])
 
 
-def scan_paths(spark: SparkSession, paths: Sequence[str], rules: Sequence[Rule] = SHIPPED) -> DataFrame:
+def scan_paths(spark: SparkSession, paths: Sequence[str], rules: Sequence[Rule] = SHIPPED, apart: bool = False) -> DataFrame:
     """path, findings of every file at or below the paths, whatever its name; an unreadable path fails the
     scan."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", False)
@@ -69,7 +69,7 @@ def scan_paths(spark: SparkSession, paths: Sequence[str], rules: Sequence[Rule]
         n = min(len(hidden), int(spark.conf.get("spark.sql.shuffle.partitions")))
         named = spark.createDataFrame([(x,) for x in hidden], "path string").repartition(n, "path")
         files = files.unionByName(named.mapInArrow(_contents, "path string, content binary"))
-    return detect(files.select(F.regexp_replace("path", "^file:(//(?=/))?", "").alias("path"), "content"), "content", rules).select("path", "findings")
+    return detect(files.select(F.regexp_replace("path", "^file:(//(?=/))?", "").alias("path"), "content"), "content", rules, apart=apart).select("path", "findings")
 
 
 def dirty(results: DataFrame) -> DataFrame:
