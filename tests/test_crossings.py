@@ -107,13 +107,21 @@ def test_raw_span_column_and_model(spark):
     assert [r.m for r in df.select(X.extract_model(F.col("body")).alias("m")).collect()] == ["gpt-4", "", ""]
 
 
-def test_units_of_many_bodies_come_in_small_batches():
+SAID = 'q " \\ é\n' * 50
+INNER = json.dumps({"s": SAID, "n": 7})
+MANY = {
+    "/v1/responses": {"instructions": "x" * 2000 + "é", "input": [{"arguments": INNER, "output": {"v": 5}}]},
+    CHAT: {"messages": [{"content": [{"type": "text", "text": SAID * 3}], "tool_calls": [{"function": {"name": "f", "arguments": INNER}, "output": {"v": 5}}]}]},
+}
+
+
+@pytest.mark.parametrize("path", sorted(MANY))
+def test_units_of_many_bodies_come_in_small_batches(path):
     """Bodies of escapes and nested JSON: batches stay small, and ranges are those of the units."""
-    inner = json.dumps({"s": 'q " \\ é\n' * 50, "n": 7})
-    body = json.dumps({"instructions": "x" * 2000 + "é", "input": [{"arguments": inner, "output": {"v": 5}}]}).encode()
+    body = json.dumps(MANY[path]).encode()
     n, peak = 3000, 0
-    feed = iter([(pa.array(["/v1/responses"] * n), pa.array([body] * n, pa.binary()))])
-    want = [tuple(u.spans[i] for i in range(len(u.spans))) for u in extract("/v1/responses", body)[1]]
+    feed = iter([(pa.array([path] * n), pa.array([body] * n, pa.binary()))])
+    want = [tuple(u.spans[i] for i in range(len(u.spans))) for u in extract(path, body)[1]]
     rows = 0
     for batch in X.extracted(feed, False, True):
         peak, rows = max(peak, batch.nbytes), rows + len(batch)
