@@ -111,6 +111,7 @@ SAID = 'q " \\ é\n' * 50
 INNER = json.dumps({"s": SAID, "n": 7})
 MANY = {
     "/v1/responses": {"instructions": "x" * 2000 + "é", "input": [{"arguments": INNER, "output": {"v": 5}}]},
+    "/v1/messages": {"system": SAID * 2, "messages": [{"role": "user", "content": [{"type": "text", "text": SAID}, {"type": "tool_use", "input": {"a": [5, SAID], "b c": "y"}}, {"type": "tool_result", "content": [{"text": SAID}]}]}]},
     CHAT: {"messages": [{"content": [{"type": "text", "text": SAID * 3}], "tool_calls": [{"function": {"name": "f", "arguments": INNER}, "output": {"v": 5}}]}]},
 }
 
