@@ -152,7 +152,7 @@ def scan_requests(crossings: DataFrame, rules: Sequence[Rule] = SHIPPED, lenient
     return crossings.withColumn("__s", run.asNondeterministic()("path", "body")).select("*", "__s.findings", "__s.unscanned_fields", "__s.error").drop("__s")
 
 
-def scan_responses(crossings: DataFrame, rules: Sequence[Rule] = SHIPPED, apart: bool = False) -> DataFrame:
+def scan_responses(crossings: DataFrame, rules: Sequence[Rule] = SHIPPED, apart: bool | str = False) -> DataFrame:
     """Adds findings of the raw body."""
     out = detect(crossings, "body", rules, apart=apart)
     return out.withColumn("unscanned_fields", F.array().cast("array<string>")).withColumn("error", F.lit(None).cast("string"))

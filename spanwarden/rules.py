@@ -124,20 +124,64 @@ def _tokens(pattern: str):
         i += step
 
 
+def _translated(token: str, inside: bool) -> str:
+    if token == r"\s":
+        return _SPACE if inside else f"[{_SPACE}]"
+    if token == r"\S" and not inside:
+        return f"[^{_SPACE}]"
+    return r"\Z" if token == r"\z" else token
+
+
 def python_pattern(pattern: str) -> bytes:
     """The pattern for Python's re over bytes."""
-    out = []
+    return "".join(_translated(*t) for t in _tokens(pattern)).encode()
+
+
+#: The letters that a character beyond ASCII folds to (the long s, the Kelvin sign).
+FOLDED = {"s": "\u017f", "k": "\u212a"}
+
+
+def _escaped(letter: str) -> str:
+    return "".join(f"\\x{b:02x}" for b in FOLDED[letter].encode())
+
+
+def folded_word(word: str) -> bytes | None:
+    """A pattern of the places of a keyword in any case, with the characters that fold to its letters; None
+    where no letter has any."""
+    if not set(word.lower()) & set(FOLDED):
+        return None
+    parts = (f"(?:{c}|{_escaped(c)})" if c in FOLDED else re.escape(c) for c in word.lower())
+    return f"(?i)(?={''.join(parts)})".encode()
+
+
+def folded_pattern(pattern: str) -> bytes:
+    """As ``python_pattern``; after ``(?i)`` its letters and classes also take the characters that fold to them."""
+    if not pattern.startswith("(?i)"):
+        return python_pattern(pattern)
+    out, members, before, head = [], "", "", False
     for token, inside in _tokens(pattern):
-        if token == r"\s":
-            token = _SPACE if inside else f"[{_SPACE}]"
-        elif token == r"\S" and not inside:
-            token = f"[^{_SPACE}]"
-        elif token == r"\z":
-            token = r"\Z"
-        out.append(token)
+        text = _translated(token, inside)
+        if inside or token == "[":
+            members += text
+            if inside and token == "]":
+                more = [] if members[1] == "^" else [_escaped(c) for c in FOLDED if re.match(f"(?i){members}", c)]
+                out.append(f"(?:{'|'.join([members, *more])})" if more else members)
+                members = ""
+        else:
+            head = (head or (before == "(" and token == "?")) and token not in (":", ")", ">")  # (?flags), (?:, (?P<name>
+            out.append(f"(?:{text}|{_escaped(token.lower())})" if token.lower() in FOLDED and not head else text)
+        before = token
     return "".join(out).encode()
 
 
+def run_of_value(rule: Rule) -> bytes | None:
+    """The pattern of the rule's group where that is a repeated class at the pattern's end, else None."""
+    m = re.search(r"\((\[\^?\]?(?:\\.|[^\]\\])*\](?:[+*]|\{[0-9,]+\}))\)$", rule.pattern)
+    if not m or not rule.group or re.compile(python_pattern(rule.pattern)).groups != rule.group:
+        return None
+    return python_pattern(("(?i)" if rule.pattern.startswith("(?i)") else "") + m.group(1))
+
+
 def anchor(rule: Rule) -> str:
     """A zero-width pattern of the places where windows open."""
     if rule.kind == "digit":

@@ -60,7 +60,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([source.read()], pa.binary())], names=["path", "content"])
 
 
-def scan_paths(spark: SparkSession, paths: Sequence[str], rules: Sequence[Rule] = SHIPPED, apart: bool = False) -> DataFrame:
+def scan_paths(spark: SparkSession, paths: Sequence[str], rules: Sequence[Rule] = SHIPPED, apart: bool | str = False) -> DataFrame:
     """path, findings of every file at or below the paths, whatever its name; an unreadable path fails the
     scan."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", False)
