@@ -77,8 +77,9 @@ NOTE = ("", "Measured on the entries of the corpus, which hold both kinds on pur
 
 
 def percent(x: Column) -> Column:
-    """A share as text with one decimal; N/A where there is none."""
-    return F.when(x.isNull() | F.isnan(x), "  N/A").otherwise(F.format_string("%5.1f%%", x * 100))
+    """A share as text with one decimal, of halves the even one; N/A where there is none."""
+    # format_string takes halves up, and takes for halves what is only written so
+    return F.when(x.isNull() | F.isnan(x), "  N/A").otherwise(F.format_string("%5s%%", F.format_number(x * 100, 1)))
 
 
 def report_lines(scored: DataFrame) -> DataFrame:
